@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Methods above 8000 bytes are never compiled by the JVM's JIT: let such stages use
+    # split projections instead of one long interpreted method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Keyed streaming state outgrows executor heaps.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

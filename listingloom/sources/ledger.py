@@ -87,6 +87,11 @@ class Ledger:
         """A skipped run carries the seen set forward untouched."""
         carried = self._last.seen_run if self._last else None
         done = Commit(run_no, executed, run_no if executed else carried)
-        row = self.spark.createDataFrame([(run_no, executed, done.seen_run)], COMMIT)
-        row.coalesce(1).write.mode("overwrite").json(self.path("commits", run_no))
+        seen_run = "NULL" if done.seen_run is None else done.seen_run
+        row = self.spark.range(0, 1, 1, 1).selectExpr(
+            f"CAST({run_no} AS BIGINT) AS run_no",
+            f"{str(executed).lower()} AS executed",
+            f"CAST({seen_run} AS BIGINT) AS seen_run",
+        )
+        row.write.mode("overwrite").json(self.path("commits", run_no))
         self._last = done

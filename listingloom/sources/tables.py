@@ -12,13 +12,29 @@ from pyspark.sql import functions as F
 from listingloom.sources.params import DAY, RunParams, run_params
 
 
+# Known columns: reading with them costs no job for looking into the files.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _seconds(ntz: Column) -> Column:
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    return F.timestamp_diff("SECOND", epoch, ntz)
+    """Unix seconds of a wall time in the session zone, which the engine sets to UTC."""
+    return F.unix_seconds(ntz.cast("timestamp"))
 
 
 def _term(shipped: Column) -> Column:
@@ -47,8 +63,8 @@ def listings(spark: SparkSession, sf_dir: str, posted_from: int | None = None) -
         lines.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("l_orderkey")
         .agg(
-            F.array_sort(F.collect_set("n_name")).alias("locations"),
-            F.array_sort(F.collect_set(_term(F.col("l_shipdate")))).alias("terms"),
+            F.sort_array(F.collect_set("n_name")).alias("locations"),
+            F.sort_array(F.collect_set(_term(F.col("l_shipdate")))).alias("terms"),
         )
     )
     orders = table(spark, sf_dir, "orders")
@@ -178,57 +194,49 @@ def event_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", body.alias("body"))
 
 
-def _json(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f'"{name}": '), value)
+# A record written field by field. Line numbers, flags, taxes and discounts decide how
+# single fields are written.
+_RECORD = r"""
+concat('{',
+  CASE l_quantity WHEN 45 THEN concat('"id": null, "id": "', line_key, '"')
+    ELSE concat('"id": ',
+      CASE l_linenumber WHEN 7 THEN CAST(l_orderkey AS STRING) ELSE concat('"', line_key, '"') END) END,
+  ', "company_name": "Zoë \\"& Co\\"", "title": "Intern", "locations": ',
+  CASE l_linenumber WHEN 1 THEN '[]' WHEN 3 THEN '["Oslo", "Bergen"]' WHEN 4 THEN '[null]'
+    WHEN 5 THEN '["Oslo", null]' WHEN 6 THEN '["Oslo", 5]' ELSE '["Oslo"]' END,
+  ', "terms": ',
+  CASE l_returnflag WHEN 'A' THEN '["Summer 2026", "Fall 2026"]'
+    WHEN 'N' THEN '["Springfield 2026"]' ELSE '["summer 2026"]' END,
+  ', "sponsorship": "", "active": ',
+  CASE round(l_discount * 100) WHEN 0 THEN 'true' WHEN 1 THEN '1' WHEN 2 THEN '"Yes"'
+    WHEN 3 THEN '"t"' WHEN 4 THEN '1.0' WHEN 5 THEN 'false' WHEN 6 THEN '"OFF"' WHEN 7 THEN '0'
+    WHEN 8 THEN '2' WHEN 9 THEN '"maybe"' ELSE 'null' END,
+  ', "is_visible": "on", "url": "https://example.com/x", "date_posted": ',
+  CASE round(l_tax * 100) WHEN 0 THEN posted WHEN 1 THEN concat('" ', posted, '"')
+    WHEN 2 THEN concat(posted, '.0') WHEN 3 THEN concat(posted, '.5')
+    WHEN 4 THEN concat('"+', posted, '.00"') WHEN 5 THEN '"soon"' WHEN 6 THEN 'true'
+    WHEN 7 THEN concat(posted, 'e0') ELSE '[1]' END,
+  CASE l_linestatus WHEN 'O' THEN ', "unknown": {"a": [1, {"b": null}]}'
+    ELSE ', "company_url": "https://example.com"' END,
+  ', "date_updated": ', posted, '}')"""
+
+# Quantities above 45 damage the whole record.
+_DAMAGED = """
+CASE l_quantity WHEN 50 THEN left(record, length(record) - 1) WHEN 49 THEN '"just text"'
+  WHEN 48 THEN '[1, 2]' WHEN 47 THEN 'null' WHEN 46 THEN concat('NULL ', record)
+  ELSE record END"""
 
 
 def listing_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as listing records in JSON, in all the ways a field may be written.
 
-    Quantities above 45 damage the whole record, line numbers, flags, taxes and
-    discounts decide how single fields are written. The oracles know the outcome
-    from the same columns.
+    The oracles know the outcome from the same columns.
     """
-    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
-    quoted_key = F.concat(F.lit('"'), key, F.lit('"'))
-    posted = _seconds(F.col("l_shipdate")).cast("string")
-    tax, discount = F.round(F.col("l_tax") * 100), F.round(F.col("l_discount") * 100)
-
-    def pick(column: Column, options: dict, otherwise) -> Column:
-        chain = F
-        for value, text in options.items():
-            chain = chain.when(column == value, text)
-        return chain.otherwise(otherwise)
-
-    number = F.col("l_linenumber")
-    fields = [
-        pick(F.col("l_quantity"), {45: F.concat(F.lit('"id": null, "id": '), quoted_key)},
-             _json("id", pick(number, {7: F.col("l_orderkey").cast("string")}, quoted_key))),
-        _json("company_name", F.lit('"Zoë \\"& Co\\""')),
-        _json("title", F.lit('"Intern"')),
-        _json("locations", pick(number, {
-            1: "[]", 2: '["Oslo"]', 3: '["Oslo", "Bergen"]', 4: "[null]", 5: '["Oslo", null]',
-            6: '["Oslo", 5]'}, '["Oslo"]')),
-        _json("terms", pick(F.col("l_returnflag"), {
-            "A": '["Summer 2026", "Fall 2026"]', "N": '["Springfield 2026"]'}, '["summer 2026"]')),
-        _json("sponsorship", F.lit('""')),
-        _json("active", pick(discount, {
-            0: "true", 1: "1", 2: '"Yes"', 3: '"t"', 4: "1.0", 5: "false", 6: '"OFF"', 7: "0",
-            8: "2", 9: '"maybe"'}, "null")),
-        _json("is_visible", F.lit('"on"')),
-        _json("url", F.lit('"https://example.com/x"')),
-        _json("date_posted", pick(tax, {
-            0: posted, 1: F.concat(F.lit('" '), posted, F.lit('"')),
-            2: F.concat(posted, F.lit(".0")), 3: F.concat(posted, F.lit(".5")),
-            4: F.concat(F.lit('"+'), posted, F.lit('.00"')), 5: '"soon"', 6: "true",
-            7: F.concat(posted, F.lit("e0"))}, "[1]")),
-        pick(F.col("l_linestatus"), {"O": F.lit('"unknown": {"a": [1, {"b": null}]}')},
-             _json("company_url", F.lit('"https://example.com"'))),
-        _json("date_updated", posted),
-    ]
-    record = F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}"))
-    body = pick(F.col("l_quantity"), {
-        50: F.expr("left(record, length(record) - 1)"), 49: '"just text"', 48: "[1, 2]",
-        47: "null", 46: F.concat(F.lit("NULL "), F.col("record"))}, F.col("record"))
-    lines = table(spark, sf_dir, "lineitem").withColumn("record", record)
-    return lines.select(key.alias("line_key"), "l_orderkey", body.alias("body"))
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "*",
+        "concat_ws('-', l_orderkey, l_linenumber) AS line_key",
+        "CAST(unix_seconds(CAST(l_shipdate AS TIMESTAMP)) AS STRING) AS posted",
+    )
+    return lines.selectExpr("*", f"{_RECORD} AS record").selectExpr(
+        "line_key", "l_orderkey", f"{_DAMAGED} AS body"
+    )

@@ -39,7 +39,8 @@ def start_runs(
     writer = manifest.writeStream.foreachBatch(execute).option("checkpointLocation", checkpoint)
     if interval_hours is None:
         return writer.trigger(availableNow=True).start()
-    return writer.trigger(processingTime=f"{checked_interval(interval_hours)} hours").start()
+    seconds = round(checked_interval(interval_hours) * 3600)
+    return writer.trigger(processingTime=f"{seconds} seconds").start()
 
 
 def listing_run(

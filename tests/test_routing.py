@@ -1,0 +1,151 @@
+import random
+
+from pyspark.sql import functions as F
+
+from conftest import listing
+from listingloom.operators import ranking, routing, select, stats, subscribing
+from listingloom.schema import SUBSCRIPTION
+
+
+def subscriptions(spark, rows):
+    return spark.createDataFrame(rows, SUBSCRIPTION)
+
+
+def test_positions_follow_the_order_across_partitions(spark, frame, tmp_path):
+    """Two thirds of the rows share one date, so the bounds fall inside a hot group."""
+    rng = random.Random(7)
+    rows = [
+        listing(f"id-{n:05}", terms=[rng.choice(["Summer 2026"] * 3 + ["Fall 2026"])],
+                posted=1000 if n % 3 else rng.randrange(2000))
+        for n in range(3000)
+    ]
+    current = select.current(frame(rows).repartition(8), None)
+    # Small partitions would be merged: keep them apart, as large ones are.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = ranking.store_newest_first(current, str(tmp_path / "order"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert stored.select(F.shiftright("slot", 33)).distinct().count() > 4
+    got = {
+        (r["category"], r["position"]): r["id"] for r in ranking.with_positions(stored).collect()
+    }
+    for category, term in (("summer", "Summer 2026"), ("offseason", "Fall 2026")):
+        mine = sorted((-r[9], r[0]) for r in rows if r[4] == [term])
+        want = {(category, n): id for n, (_, id) in enumerate(mine, 1)}
+        assert {k: v for k, v in got.items() if k[0] == category} == want
+
+
+def test_positions_of_an_empty_run(spark, frame, tmp_path):
+    current = select.current(frame([listing("x", terms=[])]), None)
+    stored = ranking.store_newest_first(current, str(tmp_path / "order"))
+    assert ranking.with_positions(stored).count() == 0
+
+
+def brute_force(new, subs):
+    """Deliveries by looping: categories, then guilds in stored order, newest first."""
+    log, seq = [], {}
+    for category in ("summer", "offseason"):
+        for sub in sorted((s for s in subs if s[1] == category), key=lambda s: s[3]):
+            for id, _ in sorted(
+                ((i, d) for c, i, d in new if c == category), key=lambda x: (-x[1], x[0])
+            ):
+                seq[sub[2]] = seq.get(sub[2], 0) + 1
+                log.append((category, sub[0], sub[2], id, seq[sub[2]]))
+    return sorted(log)
+
+
+def test_deliveries_match_the_loop_broadcast_or_not(spark, frame, tmp_path):
+    rng = random.Random(3)
+    rows = [
+        listing(f"i{n}", terms=[rng.choice(["Summer 2026", "Fall 2026"])], posted=rng.randrange(9))
+        for n in range(60)
+    ]
+    # Channel 7 serves both categories; channel 8 is used by two guilds.
+    subs = [(g, "summer", 100 + g, 50 - g) for g in range(20)]
+    subs += [(g, "offseason", 200 + g, 50 - g) for g in range(0, 20, 3)]
+    subs += [(30, "summer", 7, 60), (30, "offseason", 7, 60)]
+    subs += [(31, "summer", 8, 61), (32, "summer", 8, 62)]
+    current = select.current(frame(rows), None)
+    stored = ranking.store_newest_first(current, str(tmp_path / "order"))
+    numbered, counts = ranking.with_positions(stored), stats.new_counts(stored)
+    new = [("summer" if r[4] == ["Summer 2026"] else "offseason", r[0], r[9]) for r in rows]
+    want = brute_force(new, subs)
+    table = subscriptions(spark, subs)
+    for limit in (1000, 5, 1):
+        out = routing.deliveries(numbered, table, counts, broadcast_rows=limit)
+        columns = ["category", "guild_id", "channel_id", "id", "seq"]
+        assert sorted(tuple(r) for r in out.select(columns).collect()) == want
+    last = routing.delivery_order(
+        routing.deliveries(numbered, table, counts)
+    ).select("category", "guild_order", "seq").collect()
+    keys = [(r["category"] != "summer", r["guild_order"], r["seq"]) for r in last]
+    assert keys == sorted(keys)
+
+
+def test_dead_and_null_channels_are_skipped(spark):
+    subs = subscriptions(spark, [(1, "summer", 11, 0), (2, "summer", 12, 1), (3, "summer", None, 2)])
+    live = spark.createDataFrame([(12,), (13,)], "channel_id long")
+    kept = routing.live_subscriptions(subs, live).collect()
+    assert [r["guild_id"] for r in kept] == [2]
+
+
+def test_delivery_stats(spark):
+    log = spark.createDataFrame(
+        [("summer", "sent"), ("summer", "failed"), ("offseason", "sent"), ("summer", "sent")],
+        "category string, status string",
+    )
+    counts = spark.createDataFrame([("summer", 2), ("offseason", 0)], "category string, new_count long")
+    assert stats.delivery_stats(log, counts).first().asDict() == {
+        "summer_posted": 2, "offseason_posted": 1, "errors": 1, "total_new": 2,
+    }
+    empty = stats.delivery_stats(log.limit(0), counts).first().asDict()
+    assert (empty["summer_posted"], empty["errors"], empty["total_new"]) == (0, 0, 2)
+
+
+CHANGES = "seq long, guild_id long, category string, channel_id long"
+FACTS = "channel_id long, owner_guild_id long, can_send boolean, can_embed boolean"
+
+
+def test_admission_order_of_reasons(spark):
+    facts = spark.createDataFrame(
+        [(1, 10, True, True), (2, 10, False, True), (3, 10, True, False), (4, 20, True, True),
+         (5, 20, False, False)],
+        FACTS,
+    )
+    changes = spark.createDataFrame([(n, 10, "summer", n) for n in range(1, 7)], CHANGES)
+    got = {r["seq"]: r["refusal"] for r in subscribing.admit(changes, facts).collect()}
+    assert got == {
+        1: None, 2: "no_permission", 3: "no_permission", 4: "other_guild", 5: "no_permission",
+        6: "no_permission",
+    }
+
+
+def test_last_write_wins_and_guilds_keep_their_first_place(spark):
+    log = spark.createDataFrame(
+        [(1, 222, "offseason", 1), (2, 111, "summer", 1001), (3, 222, "summer", 2002),
+         (4, 111, "summer", 1009), (5, 333, "offseason", 3003)],
+        CHANGES,
+    )
+    subs = subscribing.subscriptions(subscribing.guild_settings(log))
+    rows = sorted((r["guild_order"], r["category"], r["channel_id"]) for r in subs.collect())
+    assert rows == [(1, "offseason", 1), (1, "summer", 2002), (2, "summer", 1009), (5, "offseason", 3003)]
+    order = [r["channel_id"] for r in subscribing.category_channels(subs, "summer").collect()]
+    assert order == [2002, 1009]
+    assert subscribing.guild_channels(subs, 111).count() == 1
+    assert subscribing.guild_channels(subs, 999).count() == 0
+    back = {r["guild_id"]: r for r in subscribing.settings_of(subs).collect()}
+    assert (back[222]["summer_channel"], back[222]["offseason_channel"]) == (2002, 1)
+    assert back[333]["summer_channel"] is None
+
+
+def test_gates(spark):
+    def gate(*categories):
+        subs = subscriptions(spark, [(n, c, n, n) for n, c in enumerate(categories)])
+        row = subscribing.gates(subs).first()
+        return row["scheduled_run"], row["manual_run"]
+
+    assert gate() == (False, False)
+    assert gate("summer", "summer") == (False, True)
+    assert gate("offseason") == (False, True)
+    assert gate("offseason", "summer") == (True, True)

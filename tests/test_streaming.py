@@ -1,0 +1,129 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from listingloom.operators import replay
+from listingloom.sources.ledger import Ledger
+from listingloom.streaming import keyed, manifest
+from listingloom.streaming.manifest import Entry
+from listingloom.streaming.runs import diff_run, start_runs
+
+ROWS = "category string, id string, run_no long, n long"
+
+
+def history(runs=8, seed=5):
+    """Snapshots with copies, a hot id and an empty run in the middle."""
+    rng, rows = random.Random(seed), []
+    for run_no in range(1, runs + 1):
+        if run_no == 4:
+            continue
+        for key in range(12):
+            if rng.random() < 0.6:
+                rows += [(rng.choice("ab"), str(key), run_no)] * rng.choice((1, 1, 2))
+        if run_no % 3:
+            rows += [("a", "hot", run_no)] * 20
+    return [(*row, n) for n, row in enumerate(rows)]
+
+
+def loop(rows):
+    """The rule itself: compare with the keys of the run before, then replace them."""
+    new, seen = [], set()
+    for run_no in range(1, max(r[2] for r in rows) + 1):
+        now = [r for r in rows if r[2] == run_no]
+        new += [r for r in now if r[:2] not in seen]
+        seen = {r[:2] for r in now}
+    return sorted(new)
+
+
+def collected(df):
+    return sorted(tuple(r) for r in df.select("category", "id", "run_no", "n").collect())
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return history()
+
+
+def test_replay_matches_the_loop(spark, rows):
+    assert collected(replay.replay(spark.createDataFrame(rows, ROWS))) == loop(rows)
+
+
+def test_stream_of_snapshots_matches_the_loop_and_resumes(spark, rows, tmp_path):
+    """One file per snapshot, one batch per file; stopped after five runs and reopened."""
+    table = spark.createDataFrame(rows, ROWS)
+    listed, root = str(tmp_path / "manifest"), str(tmp_path / "ledger")
+    run = diff_run(lambda entry: table.filter(F.col("run_no") == entry.run_no))
+
+    def advance(first, last):
+        for run_no in range(first, last + 1):
+            manifest.append(spark, listed, [Entry(run_no, "-", run_no)])
+        source = manifest.read_stream(spark, listed, files_per_batch=1)
+        ledger = Ledger(spark, root)
+        query = start_runs(source, ledger, run, str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        return ledger, query
+
+    _, query = advance(1, 5)
+    assert len([b for b in query.recentProgress if b["numInputRows"]]) == 5
+    ledger, _ = advance(6, 8)
+    assert ledger.last.run_no == 8
+    assert collected(ledger.read_all("new", ROWS)) == loop(rows)
+
+
+def test_a_repeated_batch_writes_nothing_twice(spark, rows, tmp_path):
+    """A new checkpoint replays every entry; the ledger knows the runs are done."""
+    table = spark.createDataFrame(rows, ROWS)
+    listed = str(tmp_path / "manifest")
+    manifest.append(spark, listed, [Entry(n, "-", n) for n in (3, 1, 2)])
+    run = diff_run(lambda entry: table.filter(F.col("run_no") == entry.run_no))
+    for attempt in range(2):
+        ledger = Ledger(spark, str(tmp_path / "ledger"))
+        source = manifest.read_stream(spark, listed)
+        start_runs(source, ledger, run, str(tmp_path / f"checkpoint-{attempt}")).awaitTermination()
+    got = collected(ledger.read_all("new", ROWS))
+    assert got == [r for r in loop(rows) if r[2] <= 3]
+
+
+def test_keyed_state_matches_the_loop_and_forgets_old_keys(spark, rows, tmp_path):
+    table = spark.createDataFrame(rows, ROWS)
+    landed, fresh = str(tmp_path / "keys"), str(tmp_path / "fresh")
+    for run_no in range(1, 9):
+        keyed.land_keys(table.filter(F.col("run_no") == run_no).coalesce(1), landed)
+    query = (
+        keyed.fresh_keys(keyed.read_keys(spark, landed, files_per_batch=3))
+        .writeStream.format("parquet")
+        .option("path", fresh)
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    keys = spark.read.schema(keyed.KEYS).parquet(fresh)
+    assert keys.count() == keys.distinct().count()
+    joined = table.join(keys, ["category", "id", "run_no"], "left_semi")
+    assert collected(joined) == loop(rows)
+    held = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    last_runs = {r[:2] for r in rows if r[2] >= 6}
+    assert held <= 2 * len(last_runs) + 2
+
+
+def test_interval_becomes_the_trigger(spark, tmp_path):
+    listed = str(tmp_path / "manifest")
+    manifest.append(spark, listed, [Entry(1, "-", 1)])
+    done = []
+
+    def run(ledger, entry):
+        done.append(entry.run_no)
+        ledger.commit(entry.run_no, executed=True)
+
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    source = manifest.read_stream(spark, listed)
+    with pytest.raises(ValueError):
+        start_runs(source, ledger, run, str(tmp_path / "bad"), interval_hours=0.1)
+    query = start_runs(source, ledger, run, str(tmp_path / "good"), interval_hours=0.5)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert done == [1]
