@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from listingloom.functions import cards, season, strict, text
 from listingloom.operators import diff, ranking, replay, routing, select, stats, subscribing
 from listingloom.plans import runs
+from listingloom.schema import LISTING
 from listingloom.session import prepare, scratch
 from listingloom.sources import feed, tables
 from listingloom.sources.ledger import Ledger
@@ -231,15 +232,16 @@ def delivery_stats(spark, sf_dir):
 
 @query
 def run_outbox(spark, sf_dir):
-    """Two full runs through the ledger; the outbox of the second."""
-    ledger = Ledger(spark, scratch(spark, "runs"))
-    for run_no, days_ago in ((1, 30), (2, 0)):
-        params = tables.params(spark, sf_dir, days_ago)
-        snapshot = tables.listings(spark, sf_dir, posted_from=params.start)
+    """Two full runs through the ledger over a stored feed; the outbox of the second."""
+    ledger, path = Ledger(spark, scratch(spark, "runs")), scratch(spark, "listings")
+    before, now = tables.params(spark, sf_dir, days_ago=30), tables.params(spark, sf_dir)
+    tables.listings(spark, sf_dir, posted_from=before.start).write.parquet(path)
+    stored = spark.read.schema(LISTING).parquet(path)
+    for run_no, params in enumerate((before, now), 1):
         runs.gated_run(
             ledger,
             run_no,
-            snapshot.filter(F.col("date_posted") <= params.as_of),
+            stored.filter(F.col("date_posted") <= params.as_of),
             tables.subscriptions(spark, sf_dir),
             tables.live_channels(spark, sf_dir),
             params,
@@ -350,7 +352,7 @@ def feed_landed(spark, sf_dir):
 @query
 def feed_array(spark, sf_dir):
     """Array documents of three elements: a record, a text, the record again."""
-    bodies = tables.listing_bodies(spark, sf_dir)
+    bodies = feed.spread(tables.listing_bodies(spark, sf_dir))
     sound = bodies.filter(F.try_parse_json("body").isNotNull())
     document = F.concat(
         F.lit("[ "), F.col("body"), F.lit(', "text",\n'), F.col("body"), F.lit(" ]")
@@ -429,7 +431,7 @@ def rolling_runs(spark, sf_dir):
     tables.listings(spark, sf_dir, posted_from=end - 180 * DAY).write.parquet(path)
     entries = [Entry(n, path, end - (5 - n) * 30 * DAY) for n in range(1, 6)]
     manifest.append(spark, listed, entries)
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(LISTING).parquet(path)
     subscriptions = tables.subscriptions(spark, sf_dir)
     summer_only = subscriptions.filter(F.col("category") == "summer")
     ledger = Ledger(spark, scratch(spark, "ledger"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from conftest import listing
 from listingloom.operators import ranking, routing, select, stats, subscribing
 from listingloom.schema import SUBSCRIPTION
+from listingloom.sources import subscriptions as log
 
 
 def subscriptions(spark, rows):
@@ -149,3 +150,15 @@ def test_gates(spark):
     assert gate("summer", "summer") == (False, True)
     assert gate("offseason") == (False, True)
     assert gate("offseason", "summer") == (True, True)
+
+
+def test_change_log_is_appended(spark, tmp_path):
+    path = str(tmp_path / "changes")
+    facts = spark.createDataFrame([(1, 10, True, True), (2, 10, True, True)], FACTS)
+    assert log.read_subscriptions(spark, path).count() == 0
+    for seq, channel in ((1, 1), (2, 2), (3, 3)):
+        change = spark.createDataFrame([(seq, 10, "summer", channel)], CHANGES)
+        refused = log.record_changes(change, facts, path)
+        assert refused.count() == (1 if channel == 3 else 0)
+    rows = log.read_subscriptions(spark, path).collect()
+    assert [(r["guild_id"], r["channel_id"], r["guild_order"]) for r in rows] == [(10, 2, 1)]

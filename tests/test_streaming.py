@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,7 +124,10 @@ def test_interval_becomes_the_trigger(spark, tmp_path):
         start_runs(source, ledger, run, str(tmp_path / "bad"), interval_hours=0.1)
     query = start_runs(source, ledger, run, str(tmp_path / "good"), interval_hours=0.5)
     try:
-        query.processAllAvailable()
+        deadline = time.time() + 60
+        while not ledger.is_done(1) and time.time() < deadline:
+            time.sleep(0.1)
+        assert query.isActive
     finally:
         query.stop()
     assert done == [1]
