@@ -12,7 +12,10 @@ from listingloom.schema import OFFSEASON, OFFSEASON_WORDS, SUMMER, SUMMER_WORDS
 
 
 def _mentions(terms: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(terms, lambda term: reduce(or_, [F.contains(term, F.lit(w)) for w in words]))
+    """Does any term contain a word? No word holds a line break, so none can be found
+    across two terms; one joined text, unlike a lambda, stays inside generated code."""
+    text = F.concat_ws("\n", terms)
+    return reduce(or_, [F.contains(text, F.lit(word)) for word in words])
 
 
 def is_summer(terms: Column) -> Column:

@@ -41,15 +41,20 @@ def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.current(tables.listings(spark, sf_dir, posted_from=start), start)
 
 
-def _previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _previous(spark: SparkSession, sf_dir: str, listings: DataFrame | None = None) -> DataFrame:
     """What the run 30 days earlier looked at."""
     then = tables.params(spark, sf_dir, days_ago=30)
-    snapshot = tables.listings(spark, sf_dir, posted_from=then.start)
-    return select.current(snapshot.filter(F.col("date_posted") <= then.as_of), then.start)
+    if listings is None:
+        listings = tables.listings(spark, sf_dir, posted_from=then.start)
+    return select.current(listings.filter(F.col("date_posted") <= then.as_of), then.start)
 
 
-def _new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.new_listings(_current(spark, sf_dir), diff.all_ids(_previous(spark, sf_dir)))
+def _new(spark: SparkSession, sf_dir: str, find=diff.new_listings) -> DataFrame:
+    """Both runs read one derivation of the listings, so that Spark shuffles it once."""
+    then, now = tables.params(spark, sf_dir, days_ago=30), tables.params(spark, sf_dir)
+    listings = tables.listings(spark, sf_dir, posted_from=then.start)
+    seen = diff.all_ids(_previous(spark, sf_dir, listings))
+    return find(select.current(listings, now.start), seen)
 
 
 def _live_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,8 +187,7 @@ def new_listings(spark, sf_dir):
 
 @query
 def new_listings_narrow(spark, sf_dir):
-    seen = diff.all_ids(_previous(spark, sf_dir))
-    return diff.new_listings_narrow(_current(spark, sf_dir), seen).select(
+    return _new(spark, sf_dir, diff.new_listings_narrow).select(
         "category", "id", "company_name", "date_posted"
     )
 
@@ -309,21 +313,24 @@ def config_report(spark, sf_dir):
 @query
 def json_validate(spark, sf_dir):
     rules = [strict.Rule("k", T.LongType())]
-    checked = strict.validate(feed.parse_bodies(tables.event_bodies(spark, sf_dir)), rules)
+    bodies = feed.spread(tables.event_bodies(spark, sf_dir))
+    checked = strict.validate(feed.parse_bodies(bodies), rules)
     return checked.select("event_id", "k", F.coalesce("reject_reason", F.lit("")).alias("reason"))
 
 
 @query
 def json_rejects(spark, sf_dir):
     rules = [strict.Rule("k", T.LongType())]
-    checked = strict.validate(feed.parse_bodies(tables.event_bodies(spark, sf_dir)), rules)
+    bodies = feed.spread(tables.event_bodies(spark, sf_dir))
+    checked = strict.validate(feed.parse_bodies(bodies), rules)
     return strict.rejected(checked).groupBy("reject_reason").agg(F.count("*").alias("records"))
 
 
 @query
 def feed_validate(spark, sf_dir):
     """Every record of the listing feed with its typed fields or its reject reason."""
-    checked = strict.validate(feed.parse_bodies(tables.listing_bodies(spark, sf_dir)))
+    bodies = feed.spread(tables.listing_bodies(spark, sf_dir))
+    checked = strict.validate(feed.parse_bodies(bodies))
     ok = F.col("reject_reason").isNull()
     return checked.select(
         "line_key",

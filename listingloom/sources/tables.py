@@ -51,13 +51,23 @@ def _term(shipped: Column) -> Column:
 
 
 def listings(spark: SparkSession, sf_dir: str, posted_from: int | None = None) -> DataFrame:
-    """One listing per order. ``posted_from`` lets a start date reach the orders scan."""
+    """One listing per order.
+
+    ``posted_from`` lets a start date reach the orders scan, and through the orders
+    left the line items, before these are joined and grouped.
+    """
+    orders = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "O")
+    if posted_from is not None:
+        first = F.timestamp_seconds(F.lit(posted_from)).cast("timestamp_ntz")
+        orders = orders.filter(F.col("o_orderdate") >= first)
+        wanted = orders.select(F.col("o_orderkey").alias("l_orderkey"))
+        lines = lines.join(wanted, "l_orderkey", "left_semi")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     places = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", "n_name"
     )
-    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_linestatus") == "O")
     # Sets, so that copies collapse before the shuffle however many lines an order has.
     details = (
         lines.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -67,10 +77,6 @@ def listings(spark: SparkSession, sf_dir: str, posted_from: int | None = None) -
             F.sort_array(F.collect_set(_term(F.col("l_shipdate")))).alias("terms"),
         )
     )
-    orders = table(spark, sf_dir, "orders")
-    if posted_from is not None:
-        first = F.timestamp_seconds(F.lit(posted_from)).cast("timestamp_ntz")
-        orders = orders.filter(F.col("o_orderdate") >= first)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     nothing = F.array().cast("array<string>")
     posted = _seconds(F.col("o_orderdate"))

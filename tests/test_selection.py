@@ -66,6 +66,8 @@ def test_seasons(frame):
         "part": (["Springfield 2026"], "offseason"),
         "winter": (["Winter 2027"], "offseason"),
         "spring": (["Spring 2027"], "offseason"),
+        "cut": (["Sum", "mer Fa", "ll"], None),
+        "second": (["Q1", "x Fall"], "offseason"),
         "years": (["Summer 2026", "Summer 2027"], "summer"),
     }
     rows = frame(listing(name, terms=terms) for name, (terms, _) in cases.items())
