@@ -19,7 +19,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return quality_rules.quality_rules(docs, labels, ["doc_id"])
+    return quality_rules.with_verdict(docs.select("doc_id", "text"), labels).select("doc_id", "verdict.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
