@@ -5,10 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm import line_dedup, mixing, quality_rules, simhash
+from listingloom.llm import (
+    fingerprints,
+    line_dedup,
+    mixing,
+    quality_rules,
+    sentencepiece_bpe,
+    simhash,
+    toxicity,
+)
 from listingloom.llm.tables import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scores(toxicity.held_out(docs), model, ["doc_id", "held_out"])
+
+
+def piece_model() -> bytes:
+    """The merge-type vocabulary, read on the driver and sent with the tasks (half a MB)."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), piece_model(), ["doc_id"])
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("th")
 
@@ -27,5 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op7_line_dedup, op8_mixing, op9_quality_rules, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_toxicity, op3_sentencepiece, op5_fingerprints, op7_line_dedup, op8_mixing, op9_quality_rules, op10_simhash,
+    )
+}
 ORACLES: dict[str, str] = {}
