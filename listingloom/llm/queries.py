@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from listingloom.llm import (
     fingerprints,
+    html_extraction,
     line_dedup,
     mixing,
     quality_rules,
     sentencepiece_bpe,
     simhash,
+    suffix_dedup,
     toxicity,
 )
 from listingloom.llm.tables import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -39,6 +45,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("th")
 
@@ -60,7 +70,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_toxicity, op3_sentencepiece, op5_fingerprints, op7_line_dedup, op8_mixing, op9_quality_rules, op10_simhash,
+        op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op5_fingerprints, op6_html_extraction, op7_line_dedup, op8_mixing, op9_quality_rules, op10_simhash,
     )
 }
 ORACLES: dict[str, str] = {}
