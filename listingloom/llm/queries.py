@@ -15,6 +15,7 @@ from listingloom.llm import (
     simhash,
     suffix_dedup,
     toxicity,
+    warc,
 )
 from listingloom.llm.tables import table
 
@@ -41,6 +42,23 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), piece_model(), ["doc_id"])
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), ["page_id"]), ["page_id"])
+    field = lambda name: F.col("headers")[name]
+    return warc.as_bytes(made, ["page_id", "headers"]).select(
+        "page_id",
+        field("WARC-Type").alias("warc_type"),
+        field("WARC-Record-ID").alias("record_id"),
+        field("WARC-Refers-To").alias("refers_to"),
+        field("WARC-Concurrent-To").alias("concurrent_to"),
+        field("WARC-Target-URI").alias("target_uri"),
+        field("WARC-Source-Payload-Digest").alias("source_payload_digest"),
+        field("WARC-Block-Digest").alias("block_digest"),
+        field("Content-Length").cast("long").alias("content_length"),
+        F.sha2("record", 256).alias("record_sha256"),
+    )
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared_with_next(table(spark, sf_dir, "documents"))
 
@@ -70,7 +88,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op5_fingerprints, op6_html_extraction, op7_line_dedup, op8_mixing, op9_quality_rules, op10_simhash,
+        op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op4_warc, op5_fingerprints, op6_html_extraction, op7_line_dedup, op8_mixing, op9_quality_rules, op10_simhash,
     )
 }
 ORACLES: dict[str, str] = {}
