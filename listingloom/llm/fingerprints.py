@@ -102,7 +102,7 @@ def _ranges(docs: DataFrame) -> DataFrame:
     cuts = docs.agg(
         F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("cuts")
     ).first()["cuts"]
-    splits = [float("-inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
+    splits = [float("-inf"), *sorted({float(c) for c in cuts or [0]}), float("inf")]
     deal = Bucketizer(splits=splits, inputCol="_id", outputCol="_range", handleInvalid="keep")
     dealt = deal.transform(docs.withColumn("_id", F.col("doc_id").cast("double")))
     ranges = F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("_range").cast("int"))

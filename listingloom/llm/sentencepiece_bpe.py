@@ -9,11 +9,12 @@ checked against the sentencepiece library; a difference fails the job.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -25,7 +26,7 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 SPACE = "▁"
 #: Chunks that are remembered within a task, and characters that are worked on at a time.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 AT_ONCE = 2_000_000
 #: Longer chunks have an agenda of their own.
 TOGETHER = 48
@@ -187,12 +188,14 @@ class Vocabulary:
                 raise RuntimeError(f"encoding differs from the library's: {c!r} {mine} {its}")
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """Text of ids: pieces joined, byte pieces read as UTF-8, the prefix taken off."""
         return self.surface(ids).removeprefix(" ")
 
-    def surface(self, ids: Iterable[int]) -> str:
+    def surface(self, ids: Sequence[int]) -> str:
         """As ``decode``, with the prefix: surfaces of a text's chunks add up to the text's."""
+        if self.of_byte.keys().isdisjoint(ids):
+            return "".join(map(self.shown.__getitem__, ids))
         out: list[str] = []
         held = bytearray()
 
@@ -223,30 +226,32 @@ class Vocabulary:
         return "".join(out)
 
 
-def _coded(model: bytes, batches: Iterator[pd.Series]) -> Iterator[list[tuple[list[int], str]]]:
-    """Ids with the end id, and the text decoded from them, of each text of each batch."""
+def _checked(model: bytes, batches: Iterator[pd.Series]) -> Iterator[list[tuple[list[int], str]]]:
     vocabulary = Vocabulary(model)
     known: dict[str, tuple[int, ...]] = {}
-    surface: dict[str, str] = {}
+    odd: dict[str, str] = {}  # what chunks decode to if not to themselves
     for texts in batches:
         done: list[tuple[list[int], str]] = []
         group: list[list[str]] = []
         chars = 0
 
         def work() -> None:
-            new = list(dict.fromkeys(c for chunks in group for c in chunks if c not in known))
-            known.update(zip(new, vocabulary.encode_chunks(new)))
-            surface.update((c, vocabulary.surface(known[c])) for c in new)
+            new = list(set(chain.from_iterable(group)) - known.keys())
+            for c, ids in zip(new, vocabulary.encode_chunks(new)):
+                known[c] = ids
+                if (shown := vocabulary.surface(ids)) != c.replace(SPACE, " "):
+                    odd[c] = shown
             found = [[*chain.from_iterable(map(known.__getitem__, c)), vocabulary.end] for c in group]
             for chunks, ids, its in zip(group, found, vocabulary.library.decode(found, num_threads=1)):
-                mine = "".join(map(surface.__getitem__, chunks)).removeprefix(" ")
+                shown = chunks if odd.keys().isdisjoint(chunks) else [odd.get(c, c) for c in chunks]
+                mine = "".join(shown).replace(SPACE, " ").removeprefix(" ")
                 if mine != its:
                     raise RuntimeError(f"decoding differs from the library's: {mine[:80]!r} {its[:80]!r}")
                 done.append((ids, its))
             group.clear()
             if len(known) > REMEMBERED:
                 known.clear()
-                surface.clear()
+                odd.clear()
 
         for text in texts:
             group.append(vocabulary.chunks(text or ""))
@@ -259,6 +264,15 @@ def _coded(model: bytes, batches: Iterator[pd.Series]) -> Iterator[list[tuple[li
         yield done
 
 
+def _coded(model: bytes, batches: Iterator[pd.Series]) -> Iterator[list[tuple[list[int], str]]]:
+    """Ids with the end id, and the text decoded from them, of each text of each batch."""
+    gc.disable()  # nothing here makes cycles, and there are millions of small tuples
+    try:
+        yield from _checked(model, batches)
+    finally:
+        gc.enable()
+
+
 def encoded(docs: DataFrame, model: bytes, keep: list[str]) -> DataFrame:
     """``keep`` columns, ``ids`` (with an end id) and ``decoded`` of every document.
 
