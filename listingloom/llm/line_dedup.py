@@ -197,12 +197,12 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     A document all of whose lines go stays, with an empty text. Null texts stay null. All
     other columns are passed on.
     """
-    gone = line_classes(docs).where("removed").groupBy(F.col("doc_id").alias("_doc"), "th").agg(
+    gone = line_classes(docs).where("removed").groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(
         F.collect_set("line_no").alias("_gone")
     )
     gone = stored(gone, "gone")
     th = F.xxhash64(text_or_empty())
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (th == F.col("th")), "left")
+    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (th == F.col("_th")), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i))
     rows = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     if "n_chars" in docs.columns:

@@ -190,7 +190,9 @@ class Vocabulary:
 
     def decode(self, ids: Sequence[int]) -> str:
         """Text of ids: pieces joined, byte pieces read as UTF-8, the prefix taken off."""
-        return self.surface(ids).removeprefix(" ")
+        text = self.surface(ids)
+        first = next((i for i in ids if i in self.of_byte or self.shown[i]), None)
+        return text if first == self.unknown else text.removeprefix(" ")
 
     def surface(self, ids: Sequence[int]) -> str:
         """As ``decode``, with the prefix: surfaces of a text's chunks add up to the text's."""

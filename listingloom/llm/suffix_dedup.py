@@ -49,6 +49,7 @@ def _id(data: memoryview, start: int, end: int, seed: int = 0) -> int:
 
 def suffixes(data: bytes) -> Iterator[tuple[int, int, int]]:
     """(a, lo, hi): the windows from a - hi to a - lo have their least q-gram at a."""
+    held = None  # a stretch that the next part may go on with
     for at in range(0, max(0, len(data) - LENGTH + 1), _PART):  # bounds memory on very long texts
         part = memoryview(data)[at : at + _PART + LENGTH - 1]
         n = len(part) - Q + 1
@@ -68,8 +69,15 @@ def suffixes(data: bytes) -> Iterator[tuple[int, int, int]]:
         least = (np.minimum(back[:windows], ahead[width - 1 : width - 1 + windows]) & _INDEX).astype(np.int64)
         first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
         last = np.r_[first[1:], windows] - 1
-        for a, lo, hi in zip((least[first] + at).tolist(), (least[first] - last).tolist(), (least[first] - first).tolist()):
-            yield a, lo, hi
+        for a, start, end in zip((least[first] + at).tolist(), (first + at).tolist(), (last + at).tolist()):
+            if held and held[0] == a:
+                held = (a, held[1], end)
+                continue
+            if held:
+                yield held[0], held[0] - held[2], held[0] - held[1]
+            held = (a, start, end)
+    if held:
+        yield held[0], held[0] - held[2], held[0] - held[1]
 
 
 def _bounds(n: int, a: int, k: int) -> tuple[int, int]:

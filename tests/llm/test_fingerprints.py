@@ -1,0 +1,59 @@
+import hashlib
+
+import numpy as np
+
+from listingloom.llm import fingerprints as f
+
+
+def expected(rows):
+    """Contract by brute force: rows of (doc_id, text) in any order."""
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    sketch = f.Sketcher()
+    out = []
+    for k, (i, text) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        half = len(text) // 2
+        its = text[: len(text) - half] + following[:half]
+        own = sketch(text)
+        out.append((
+            i, len(text), hashlib.sha256(its.encode()).hexdigest(), f.written(own), f.written(sketch(its)),
+            f.shared(own, sketch(its))[0], f.shared(own, sketch(following))[0],
+        ))
+    return sorted(out, key=repr)
+
+
+def got(table):
+    cols = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    return sorted((tuple(r) for r in f.compared_with_next(table).select(cols).collect()), key=repr)
+
+
+def test_next_documents_across_ranges(spark, words):
+    rows = [(i * 37 % 1009 + (1 << 60), words(3 + i % 50, i)) for i in range(1009)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    assert got(table) == expected(rows)
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    assert got(odd_docs) == expected(rows)
+    assert f.compared_with_next(no_docs).count() == 0
+    one = spark.createDataFrame([(3, "a b c d e f g")], "doc_id long, text string")
+    assert got(one) == expected([(3, "a b c d e f g")])
+
+
+def test_sketches_merge_and_estimate_containment(words):
+    sketch = f.Sketcher()
+    a, b = words(3000, 1), words(30000, 2)
+    joined = sketch(a + " " + b)
+    both = f.merged(sketch(a), sketch(b))
+    assert len(np.setdiff1d(both, joined)) == 0 and len(np.setdiff1d(joined, both)) <= 4
+    assert f.shared(sketch(a), joined)[0] == 1.0
+    assert f.shared(sketch(a), sketch(b))[0] < 0.05
+    assert abs(f.shared(sketch(a), sketch(a[: len(a) // 2] + words(1500, 3)))[1] - 1 / 3) < 0.1
+    assert len(f.merged(sketch("one"), sketch("two"))) >= 1 and f.merged(sketch(""), sketch("")).size == 0
+
+
+def test_short_texts_have_a_sketch_and_memory_is_bounded(words):
+    small = f.Sketcher(remembered=10)
+    assert np.array_equal(small(words(500, 4)), f.Sketcher()(words(500, 4))) and len(small.known) <= 10
+    assert len(small("a")) == 1 and f.shared(small("a"), small("b")) == (0.0, 0.0)

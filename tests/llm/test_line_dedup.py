@@ -1,0 +1,102 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from listingloom.llm import line_dedup as d
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def changed(rnd, text, n):
+    for _ in range(n):
+        at = rnd.randrange(len(text))
+        text = rnd.choice([text[:at] + text[at + 1 :], text[:at] + "é" + text[at:], text[:at] + "ü" + text[at + 1 :]])
+    return text
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_bit_parallel_distance_matches_the_table(spark, most):
+    rnd = random.Random(most)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rnd.choices("abc", k=rnd.randint(20, 34)))
+        b = changed(rnd, a, rnd.randint(0, most + 3))
+        if abs(len(a) - len(b)) <= most:
+            pairs.append((a, b))
+    rows = spark.createDataFrame(pairs, "a string, b string").select(
+        "*", d.within(F.split("a", ""), F.split("b", ""), most).alias("near")
+    )
+    got = rows.collect()
+    assert {r.near for r in got} == {True, False}
+    assert all(r.near == (edits(r.a, r.b) <= most) for r in got)
+
+
+def classes(texts):
+    """First (document, line) of the class of each compared line, by comparing all pairs."""
+    lines = [(i, j, x) for i, t in enumerate(texts) for j, x in enumerate((t or "").split("\n")) if len(x) >= d.MIN_CHARS]
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = {x: set() for _, _, x in lines}
+    for p in range(len(lines)):
+        for q in range(p):
+            a, b = lines[p][2], lines[q][2]
+            if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
+                if a != b:
+                    links[a].add(b)
+                    links[b].add(a)
+                x, y = find(p), find(q)
+                root[max(x, y)] = min(x, y)
+    return {(i, j): (*lines[find(p)][:2], len(links[x])) for p, (i, j, x) in enumerate(lines)}
+
+
+def test_classes_match_brute_force(docs, words):
+    rnd = random.Random(3)
+    seeds = [words(rnd.randint(5, 12), i)[: rnd.randint(21, 60)] for i in range(25)]
+    texts = []
+    for i in range(40):
+        own = [changed(rnd, rnd.choice(seeds), rnd.randint(0, 4)) for _ in range(4)]
+        texts.append("\n".join([*own, words(6, 100 + i), "short", rnd.choice(seeds)]))
+    texts += ["aaaaaaaaaaaaaaaaaaaaaaaaa\n" + "a" * 27 + "\n" + "a" * 29, None, "", "\n\n"]
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links) for r in d.line_classes(docs(texts)).collect()}
+    assert got == classes(texts)
+
+
+def test_a_hot_line_with_many_variants(docs, words):
+    rnd = random.Random(9)
+    hot = words(10, 77)
+    texts = [hot + "\n" + changed(rnd, hot, rnd.randint(0, 3)) for _ in range(60)]
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links) for r in d.line_classes(docs(texts)).collect()}
+    assert got == classes(texts)
+
+
+def test_lines_are_removed_and_everything_else_is_kept(docs, words):
+    a, b, c = words(8, 1), words(8, 2), words(8, 3)
+    rows = d.without_repeated_lines(docs([f"{a}\nhi\n{b}", f"{a}!\nhi\n{c}", f"{b}\n{b}", c[:10]])).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == [f"{a}\nhi\n{b}", f"hi\n{c}", "", c[:10]]
+    assert [r.n_chars for r in rows] == [len(r.text) for r in rows]
+
+
+def test_odd_rows(odd_docs, no_docs):
+    out = d.without_repeated_lines(odd_docs)
+    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.doc_id, []).append(r)
+    assert by[0][0].text is None and by[1][0].text == "" and by[3][0].text == "one"
+    assert [r.text for r in by[5]] == [""]  # a copy of document 4
+    assert all(r.text for r in by[4]) and len(by[4]) == 3  # rows that repeat with their id keep what one would
+    assert len(by[6][0].text.split("\n")) == 400
+    assert d.line_classes(no_docs).count() == 0 and d.without_repeated_lines(no_docs).count() == 0
