@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from listingloom.llm import line_dedup, mixing, quality_rules, simhash
+from listingloom.llm import line_dedup, mixing, quality_rules, sentencepiece_bpe, simhash
+from listingloom.llm.queries import piece_model
 from listingloom.llm.tables import stored, table
 
 
@@ -29,11 +31,24 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, in place of its text, and the digests of both."""
+    coded = sentencepiece_bpe.encoded(docs, piece_model(), ["doc_id", "lang", "source"])
+    return coded.select(
+        "doc_id", "lang", "source",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 STAGES = [
     ("quality_rules", quality),
     ("line_dedup", lines),
     ("simhash_near_dedup", near_copies),
     ("mixing", mixture),
+    ("sentencepiece", tokens),
 ]
 
 #: Fitted weights, fingerprints and token ids can't be expressed in SQL.

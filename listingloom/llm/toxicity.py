@@ -96,13 +96,16 @@ def fit(
     if not 0 < y.sum() < len(y):
         share = y.mean() if len(y) else 0.0
         return Model({}, 30.0 if share else -30.0)
-    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    every = np.concatenate([np.asarray(t, np.int64) for t in texts])
-    names, cols, counts = np.unique(every, return_inverse=True, return_counts=True)
-    used = counts >= MIN_TEXTS
-    place = np.cumsum(used) - 1
-    keep = used[cols]
-    rows, cols, names = rows[keep], place[cols[keep]], names[used]
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    every = np.concatenate([np.asarray(t, np.int32) for t in texts])
+    counts = np.bincount(every, minlength=FEATURES)
+    names = np.flatnonzero(counts >= MIN_TEXTS)
+    place = np.full(FEATURES, -1, np.int32)
+    place[names] = np.arange(len(names))
+    cols = place[every]
+    keep = cols >= 0
+    rows, cols = rows[keep], cols[keep]
+    del every, keep, texts
     k, n = len(names), len(y)
     pos = np.bincount(cols, y[rows], k)
     neg = np.bincount(cols, minlength=k) - pos
@@ -172,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_BOUND) -> Mo
     schema = "doc_id long, toxic int, found array<int>, minus array<array<int>>, plus array<array<int>>"
     rows = chosen.mapInPandas(run, schema).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     changes = [c for minus, plus in zip(rows["minus"], rows["plus"]) for c in zip(minus, plus)]
-    return fit(list(rows["found"]), list(rows["toxic"]), changes)
+    return fit(rows["found"].tolist(), rows["toxic"].tolist(), changes)
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
