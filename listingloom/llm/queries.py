@@ -17,6 +17,7 @@ from listingloom.llm import (
     toxicity,
     warc,
 )
+from listingloom.llm.oracles import ORACLES  # noqa: F401
 from listingloom.llm.tables import table
 
 
@@ -90,5 +91,4 @@ QUERIES = {
     for f in (
         op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op4_warc, op5_fingerprints, op6_html_extraction, op7_line_dedup, op8_mixing, op9_quality_rules, op10_simhash,
     )
-}
-ORACLES: dict[str, str] = {}
+}
\ No newline at end of file
