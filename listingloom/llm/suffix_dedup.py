@@ -17,10 +17,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.tables import stored
+from listingloom.llm.tables import maybe_in, stored
 
 #: Bytes of a repeated string, of the q-gram that puts a suffix in its bucket.
 LENGTH = 400
@@ -28,9 +28,6 @@ Q = 32
 #: A window's q-gram lies 0 to FAR bytes into it; so many windows make a block.
 FAR = LENGTH - Q
 BLOCK = 24
-#: Bits of the filter by which texts without a part in a step stay where they are. It has this
-#: size whatever the input; where it fills up more texts are moved, none is missed.
-FILTER_BITS = 1 << 24
 _PART = 1 << 18
 _INDEX = np.uint64((1 << 20) - 1)
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -130,26 +127,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _filter(keys: DataFrame) -> DataFrame:
-    """One row ``bits``: a bit map of ``d1``, as an array of words."""
-    at = F.col("d1").bitwiseAND(F.lit(FILTER_BITS - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(one).alias("bits"))
-    every = keys.sparkSession.range(FILTER_BITS // 64).withColumnRenamed("id", "word")
-    row = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    return every.join(words, "word", "left").agg(F.transform(row, lambda s: s["bits"]).alias("bits"))
-
-
 def _with_places(docs: DataFrame, places: DataFrame, purpose: str) -> DataFrame:
     """The texts that ``places`` are in, one row for each, with the list of them."""
     keys = ["d1", "d2", "doc_id"]
     others = [c for c in places.columns if c not in keys]
     lists = stored(places.groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("places")), purpose)
-    bits = stored(_filter(lists), "bits")
-    at = F.col("d1").bitwiseAND(F.lit(FILTER_BITS - 1))
-    word = F.get("bits", F.shiftright(at, 6).cast("int"))
-    hit = F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    texts = _texts(docs).withColumn("bits", bits.scalar()).where(hit).drop("bits")
+    texts = maybe_in(_texts(docs), "d1", lists)
     own = lists.withColumnsRenamed({c: f"_{c}" for c in keys})
     same = (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
     return texts.join(own, same).select(*keys, "data", "places")

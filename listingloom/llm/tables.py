@@ -28,6 +28,34 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a filter by which rows without a part in a join stay where they are. It has this
+#: size whatever the input; where it fills up more rows are moved, none is missed.
+FILTER_BITS = 1 << 24
+
+
+def _bit(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def bit_map(keys: DataFrame, key: str) -> DataFrame:
+    """One row ``bits``: the hashes ``key`` as a bit map, an array of words."""
+    at = _bit(F.col(key))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    every = keys.sparkSession.range(FILTER_BITS // 64).withColumnRenamed("id", "word")
+    row = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return every.join(words, "word", "left").agg(F.transform(row, lambda s: s["bits"]).alias("bits"))
+
+
+def maybe_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose hash ``key`` isn't among ``keys``; a join must follow."""
+    bits = stored(bit_map(keys, key), "bits")
+    at = _bit(F.col(key))
+    word = F.get("_bits", F.shiftright(at, 6).cast("int"))
+    hit = F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.withColumn("_bits", bits.scalar()).where(hit).drop("_bits")
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
