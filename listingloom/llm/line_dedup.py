@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingloom.llm.components import components
-from listingloom.llm.tables import stored, text_or_empty
+from listingloom.llm.tables import maybe_in, stored, text_or_empty
 
 #: Edits (insertions, deletions, substitutions of code points) between linked lines.
 EDITS = 2
@@ -44,9 +44,11 @@ def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def segment_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
+def segment_keys(wide: Column, length: Column, edits: int = EDITS) -> Column:
     """Hashed keys (length, segment, substring) of a line: its own segments, then its probes.
 
+    ``wide`` is the line in UTF-32, of which a part is found without reading what precedes it.
+
     For a length d shorter, segment i of the indexed line may start in the probing line from
     max(p - i, p + d - (edits - i)) to min(p + i, p + d + (edits - i)), p being its own start.
     """
@@ -54,7 +56,7 @@ def segment_keys(line: Column, length: Column, edits: int = EDITS) -> Column:
     for d in range(edits + 1):
         for i, (start, size) in enumerate(_segments(length - d, edits)):
             for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1):
-                key = F.xxhash64(length - d, F.lit(i), F.substr(line, (start + shift + 1).cast("int"), size.cast("int")))
+                key = F.xxhash64(length - d, F.lit(i), F.substr(wide, (4 * (start + shift) + 1).cast("int"), (4 * size).cast("int")))
                 keys.insert(i if d == shift == 0 else len(keys), key)
     return F.array(*keys)
 
@@ -128,7 +130,8 @@ def line_links(rows: DataFrame) -> DataFrame:
     Equal lines meet before keys are made. A line appears in a pair only where the lengths and
     the parity of its characters allow the link, which the join itself checks.
     """
-    texts = rows.groupBy("h1", "h2", "len", segment_keys(F.col("line"), F.col("len")).alias("keys")).agg(F.count("*"))
+    wide = rows.select("h1", "h2", "len", F.encode("line", "UTF-32").alias("wide"))
+    texts = wide.groupBy("h1", "h2", "len", segment_keys(F.col("wide"), F.col("len")).alias("keys")).agg(F.count("*"))
     keyed = texts.select("h1", "h2", "len", F.posexplode("keys").alias("at", "key")).select(
         "key", "h1", "h2", "len", (F.col("at") <= EDITS).alias("own")
     )
@@ -140,7 +143,7 @@ def line_links(rows: DataFrame) -> DataFrame:
     )
     met = stored(hits.select("h1", "h2").distinct(), "met")
     chosen = stored(
-        rows.select("h1", "h2", "line").join(met, ["h1", "h2"], "left_semi").distinct()
+        maybe_in(rows.select("h1", "h2", "line"), "h1", met).join(met, ["h1", "h2"], "left_semi").distinct()
         .withColumn("parity", _parity(F.col("line"))),
         "lines",
     )
