@@ -14,7 +14,7 @@ import hashlib
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 SPACE = "▁"
+_MARKS = r"!-/:-@\[-`{-~"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Chunks that are remembered within a task, and characters that are worked on at a time.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 AT_ONCE = 2_000_000
 #: Longer chunks have an agenda of their own.
 TOGETHER = 48
@@ -77,8 +79,14 @@ class Vocabulary:
         if any(SPACE in p.lstrip(SPACE) for p in long):
             raise ValueError("pieces across words: texts can't be cut into chunks")
         alone = "".join(c for c in "\t\n\r" if not any(c in p for p in long))
+        if "\n" not in alone:
+            raise ValueError("pieces across lines: chunks can't be told apart")
         cut = re.escape(alone)
-        self.chunk = re.compile(f"{SPACE}+[^{SPACE}{cut}]*|[^{SPACE}{cut}]+" + (f"|[{cut}]" if cut else ""))
+        chunk = f"{SPACE}*[^{SPACE}{cut}]+|{SPACE}+|[{cut}]"
+        if not any(re.search(f"[{_LETTERS}][{_MARKS}]", p) for p in long):
+            # A word is told apart from the mark that follows it: fewer different chunks.
+            chunk = f"{SPACE}*[{_LETTERS}]+(?=[{_MARKS}])|{chunk}"
+        self.chunk = re.compile(chunk)
 
     @property
     def _base(self) -> int:
@@ -228,49 +236,58 @@ class Vocabulary:
         return "".join(out)
 
 
-def _checked(model: bytes, batches: Iterator[pd.Series]) -> Iterator[list[tuple[list[int], str]]]:
-    vocabulary = Vocabulary(model)
-    known: dict[str, tuple[int, ...]] = {}
-    odd: dict[str, str] = {}  # what chunks decode to if not to themselves
-    for texts in batches:
-        done: list[tuple[list[int], str]] = []
-        group: list[list[str]] = []
-        chars = 0
+#: Ids with the end id, the same as decimal text, and the text decoded from them.
+Coded = tuple[list[int], str, str]
+
 
-        def work() -> None:
-            new = list(set(chain.from_iterable(group)) - known.keys())
-            for c, ids in zip(new, vocabulary.encode_chunks(new)):
-                known[c] = ids
-                if (shown := vocabulary.surface(ids)) != c.replace(SPACE, " "):
-                    odd[c] = shown
-            found = [[*chain.from_iterable(map(known.__getitem__, c)), vocabulary.end] for c in group]
-            for chunks, ids, its in zip(group, found, vocabulary.library.decode(found, num_threads=1)):
-                shown = chunks if odd.keys().isdisjoint(chunks) else [odd.get(c, c) for c in chunks]
-                mine = "".join(shown).replace(SPACE, " ").removeprefix(" ")
-                if mine != its:
-                    raise RuntimeError(f"decoding differs from the library's: {mine[:80]!r} {its[:80]!r}")
-                done.append((ids, its))
-            group.clear()
-            if len(known) > REMEMBERED:
-                known.clear()
-                odd.clear()
+class Coder:
+    """Codes texts, and holds what it finds against the library."""
 
+    def __init__(self, model: bytes):
+        self.vocabulary = Vocabulary(model)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.digits: dict[str, str] = {}
+        self.odd: dict[str, str] = {}  # what chunks decode to if not to themselves
+
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[Coded]:
+        group: list[list[str]] = []
+        chars = 0
         for text in texts:
-            group.append(vocabulary.chunks(text or ""))
+            group.append(self.vocabulary.chunks(text or ""))
             chars += len(text or "")
             if chars > AT_ONCE:
-                work()
-                chars = 0
+                yield from self._group(group)
+                group, chars = [], 0
         if group:
-            work()
-        yield done
-
-
-def _coded(model: bytes, batches: Iterator[pd.Series]) -> Iterator[list[tuple[list[int], str]]]:
-    """Ids with the end id, and the text decoded from them, of each text of each batch."""
+            yield from self._group(group)
+
+    def _group(self, group: list[list[str]]) -> Iterator[Coded]:
+        if len(self.known) > REMEMBERED:
+            for memory in (self.known, self.digits, self.odd):
+                memory.clear()
+        new = list(set(chain.from_iterable(group)) - self.known.keys())
+        for c, ids in zip(new, self.vocabulary.encode_chunks(new)):
+            self.known[c] = ids
+            self.digits[c] = " ".join(map(str, ids))
+            if (shown := self.vocabulary.surface(ids)) != c.replace(SPACE, " "):
+                self.odd[c] = shown
+        end, library = self.vocabulary.end, self.vocabulary.library
+        found = [[*chain.from_iterable(map(self.known.__getitem__, c)), end] for c in group]
+        for chunks, ids, its in zip(group, found, library.decode(found, num_threads=1)):
+            shown = chunks if self.odd.keys().isdisjoint(chunks) else [self.odd.get(c, c) for c in chunks]
+            mine = "".join(shown).replace(SPACE, " ").removeprefix(" ")
+            if mine != its:
+                raise RuntimeError(f"decoding differs from the library's: {mine[:80]!r} {its[:80]!r}")
+            yield ids, " ".join([*map(self.digits.__getitem__, chunks), str(end)]), its
+
+
+def _by_batch(model: bytes, batches: Iterator[pd.Series], use: Callable) -> Iterator[pd.DataFrame]:
+    """``use`` of the coded texts of each batch, which come one group at a time."""
     gc.disable()  # nothing here makes cycles, and there are millions of small tuples
     try:
-        yield from _checked(model, batches)
+        coder = Coder(model)
+        for texts in batches:
+            yield use(coder(texts))
     finally:
         gc.enable()
 
@@ -282,9 +299,12 @@ def encoded(docs: DataFrame, model: bytes, keep: list[str]) -> DataFrame:
     for itself, so repeated rows and ids are coded alike; an empty table gives no rows.
     """
 
+    def use(coded: Iterator[Coded]) -> pd.DataFrame:
+        rows = [(np.array(ids, np.int32), text) for ids, _, text in coded]
+        return pd.DataFrame({"ids": [i for i, _ in rows], "decoded": [d for _, d in rows]})
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for rows in _coded(model, batches):
-            yield pd.DataFrame({"ids": [i for i, _ in rows], "decoded": [d for _, d in rows]})
+        yield from _by_batch(model, batches, use)
 
     udf = F.pandas_udf(run, "ids array<int>, decoded string")
     return docs.select(*keep, udf(F.col("text").cast("string")).alias("_coded")).select(*keep, "_coded.*")
@@ -294,15 +314,12 @@ def digests(docs: DataFrame, model: bytes, keep: list[str]) -> DataFrame:
     """As ``encoded``, with counts and digests in place of ids and texts."""
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
+    def use(coded: Iterator[Coded]) -> pd.DataFrame:
+        rows = [(len(ids), sha(digits), sha(text)) for ids, digits, text in coded]
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for rows in _coded(model, batches):
-            yield pd.DataFrame(
-                {
-                    "n_tokens": np.array([len(i) for i, _ in rows], np.int64),
-                    "ids_sha256": [sha(" ".join(map(str, i))) for i, _ in rows],
-                    "decoded_sha256": [sha(d) for _, d in rows],
-                }
-            )
+        yield from _by_batch(model, batches, use)
 
     udf = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.select(*keep, udf(F.col("text").cast("string")).alias("_coded")).select(*keep, "_coded.*")
