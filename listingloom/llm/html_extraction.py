@@ -48,12 +48,15 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 OPEN, TEMPLATE, ARTICLE = 0, 1, 2
 
 
-class _Lines(HTMLParser):
+class _Page(HTMLParser):
+    """Reads the lines of a page, and what its elements link to."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int | None]] = [("", OPEN)]
         self.lines: list[tuple[str, int]] = []
         self.parts: list[str] = []
+        self.links: list[tuple[str, str]] = []
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -80,6 +83,9 @@ class _Lines(HTMLParser):
         return ARTICLE if tag in CONTENT else now
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        for name, value in attrs:
+            if value and name in ("href", "src"):
+                self.links.append((f"{tag}/@{name}", value))
         if tag in BLOCKS:
             self.flush()
             self._close_implied(tag)
@@ -124,13 +130,18 @@ class _Lines(HTMLParser):
             self.parts.append(data)
 
 
-def lines_of(html: str | None) -> list[tuple[str, int]]:
-    """Lines of a page, in order, and the zone of each; white space is one space."""
-    reader = _Lines()
+def read_page(html: str | None) -> tuple[list[tuple[str, int]], list[tuple[str, str]]]:
+    """Lines of a page with the zone of each, and its links with their attribute, in order."""
+    reader = _Page()
     reader.feed(html or "")
     reader.close()
     reader.flush()
-    return reader.lines
+    return reader.lines, reader.links
+
+
+def lines_of(html: str | None) -> list[tuple[str, int]]:
+    """Lines of a page, in order, and the zone of each; white space is one space."""
+    return read_page(html)[0]
 
 
 def line_hashes(lines: list[tuple[str, int]]) -> list[int]:

@@ -44,9 +44,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages"), ["page_id"]), ["page_id"])
     field = lambda name: F.col("headers")[name]
-    return warc.as_bytes(made, ["page_id", "headers"]).select(
+    return warc.page_derivatives(table(spark, sf_dir, "pages")).select(
         "page_id",
         field("WARC-Type").alias("warc_type"),
         field("WARC-Record-ID").alias("record_id"),
@@ -56,7 +55,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         field("WARC-Source-Payload-Digest").alias("source_payload_digest"),
         field("WARC-Block-Digest").alias("block_digest"),
         field("Content-Length").cast("long").alias("content_length"),
-        F.sha2("record", 256).alias("record_sha256"),
+        "record_sha256",
     )
 
 

@@ -16,14 +16,13 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingloom.llm.html_extraction import lines_of
+from listingloom.llm.html_extraction import read_page
 
 RECORD = "headers map<string,string>, block binary"
 VERSION = b"WARC/1.1\r\n"
@@ -112,27 +111,12 @@ def _body(headers: dict[str, str], payload: bytes) -> bytes:
     return payload
 
 
-class _Links(HTMLParser):
-    found: list[tuple[str, str]]
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        for name, value in attrs:
-            if value and name in ("href", "src"):
-                self.found.append((f"{tag}/@{name}", value))
-
-
-def outlinks(html: str, base: str) -> list[tuple[str, str]]:
-    """Where a page links to, in order, and by which attribute."""
-    reader = _Links()
-    reader.found = []
-    reader.feed(html)
-    out = []
-    for how, link in reader.found:
-        try:
-            out.append((_BREAKS.sub("%20", urljoin(base, link.strip())), how))
-        except ValueError:
-            out.append((_BREAKS.sub("%20", link.strip()), how))
-    return out
+def _outlink(link: str, base: str) -> str:
+    try:
+        link = urljoin(base, link.strip())
+    except ValueError:
+        link = link.strip()
+    return _BREAKS.sub("%20", link)
 
 
 def derived(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
@@ -149,10 +133,11 @@ def derived(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
     target = headers.get("WARC-Target-URI")
     its_digest = headers.get("WARC-Payload-Digest") or digest(payload)
     meta_id, text_id = record_id("metadata", source), record_id("conversion", source)
-    text = "\n".join(t for t, _ in lines_of(html)).encode("utf-8", "surrogatepass")
+    lines, links = read_page(html)
+    text = "\n".join(t for t, _ in lines).encode("utf-8", "surrogatepass")
     fields = [("source-status", status), *((f"source-{k.lower()}", v) for k, v in pairs)]
     fields += [("source-block-digest", headers.get("WARC-Block-Digest") or digest(block)), ("conversion", text_id)]
-    fields += [("outlink", f"{link} {how}") for link, how in outlinks(html, target or "")]
+    fields += [("outlink", f"{_outlink(link, target or '')} {how}") for how, link in links]
     meta = "".join(f"{k}: {_field(v)}\r\n" for k, v in fields).encode("utf-8", "surrogatepass")
 
     def record(kind: str, id_: str, beside: str, type_: str, data: bytes) -> tuple[dict[str, str], bytes]:
@@ -220,6 +205,29 @@ def derivatives(records: DataFrame, keep: list[str]) -> DataFrame:
     return found.select(*keep, F.explode(pair(F.struct("headers", "block"))).alias("_record")).select(*keep, "_record.*")
 
 
+def page_derivatives(pages: DataFrame) -> DataFrame:
+    """``page_id``, the headers and the digest of the record of both derivatives of every page.
+
+    As ``derivatives`` of ``responses``, in one pass over the pages and without their bytes.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some = []
+            for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
+                for headers, block in derived(*response(page_id, url, html)):
+                    some.append((page_id, headers, hashlib.sha256(written(headers, block)).hexdigest()))
+                if len(some) >= 1000:
+                    yield pd.DataFrame(some, columns=names)
+                    some = []
+            yield pd.DataFrame(some, columns=names)
+
+    names = ["page_id", "headers", "record_sha256"]
+    rows = pages.select(*(F.col(c).cast("string").alias(c) for c in ("page_id", "url", "html")))
+    made = rows.mapInPandas(run, "page_id string, headers map<string,string>, record_sha256 string")
+    return made.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))
+
+
 def as_bytes(records: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``record``, the bytes of every record."""
 

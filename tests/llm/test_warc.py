@@ -35,6 +35,14 @@ def test_derivatives_refer_to_their_response(spark):
     assert w.derivatives(w.responses(spark.createDataFrame([], SCHEMA), []), []).count() == 0
 
 
+def test_one_pass_over_pages_makes_the_same_records(spark):
+    pages = spark.createDataFrame(ROWS, SCHEMA)
+    made = w.as_bytes(w.derivatives(w.responses(pages, ["page_id"]), ["page_id"]), ["page_id", "headers"]).collect()
+    key = lambda r, sha: (str(r.page_id), sorted(r.headers.items()), sha)
+    expected = sorted(key(r, hashlib.sha256(r.record).hexdigest()) for r in made)
+    assert sorted(key(r, r.record_sha256) for r in w.page_derivatives(pages).collect()) == expected
+
+
 def test_files_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(ROWS, SCHEMA)
     records = w.responses(pages, [])
