@@ -34,31 +34,36 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """Start (from 0) and size of each segment; the longer ones last."""
-    base, longer = F.floor(length / (edits + 1)), length % (edits + 1)
-    out = []
-    for i in range(edits + 1):
-        extra = F.greatest(F.lit(0), longer - (edits + 1 - i))
-        out.append((i * base + extra, base + (i + longer >= edits + 1).cast("int")))
-    return out
-
-
 def segment_keys(wide: Column, length: Column, edits: int = EDITS) -> Column:
     """Hashed keys (length, segment, substring) of a line: its own segments, then its probes.
 
     ``wide`` is the line in UTF-32, of which a part is found without reading what precedes it.
-
-    For a length d shorter, segment i of the indexed line may start in the probing line from
-    max(p - i, p + d - (edits - i)) to min(p + i, p + d + (edits - i)), p being its own start.
+    Segments are as even as they can be, the longer ones last. For a length d shorter, segment
+    i of the indexed line may start in the probing line from max(p - i, p + d - (edits - i)) to
+    min(p + i, p + d + (edits - i)), p being its own start.
     """
-    keys = []
-    for d in range(edits + 1):
-        for i, (start, size) in enumerate(_segments(length - d, edits)):
-            for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1):
-                key = F.xxhash64(length - d, F.lit(i), F.substr(wide, (4 * (start + shift) + 1).cast("int"), (4 * size).cast("int")))
-                keys.insert(i if d == shift == 0 else len(keys), key)
-    return F.array(*keys)
+    parts = edits + 1
+    probes = [
+        (d, i, shift)
+        for d in range(parts)
+        for i in range(parts)
+        for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)
+    ]
+    probes.sort(key=lambda p: (p[0] > 0 or p[2] != 0, p))  # own segments are probes without a shift
+    grid = F.array(
+        *(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in probes)
+    )
+
+    # A function over the grid, not one expression for each probe: their generated code would
+    # be too long for the JVM to compile.
+    def key(g: Column) -> Column:
+        indexed, i = length - g["d"], g["i"]
+        base, longer = F.floor(indexed / parts), indexed % parts
+        start = i * base + F.greatest(F.lit(0), longer - (parts - i)) + g["shift"]
+        size = base + (i + longer >= parts).cast("int")
+        return F.xxhash64(indexed, i, F.substring(wide, (4 * start + 1).cast("int"), (4 * size).cast("int")))
+
+    return F.transform(grid, key)
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
