@@ -62,6 +62,24 @@ def config_card(
     )
 
 
+def count_card(summer_new: Column, offseason_new: Column) -> Column:
+    """Card of how many new listings a run found."""
+    return F.struct(
+        F.lit(S.COUNT_TITLE).alias("title"),
+        F.lit(S.GREEN).cast("bigint").alias("color"),
+        F.array(
+            _field(S.SUMMER_COUNT_FIELD, F.format_string("%d new", summer_new), True),
+            _field(S.OFFSEASON_COUNT_FIELD, F.format_string("%d new", offseason_new), True),
+        ).alias("fields"),
+    )
+
+
+def preview_text(summer_found: Column, offseason_found: Column) -> Column:
+    """The lines above the cards of a preview."""
+    totals = F.format_string(S.PREVIEW_TOTALS, summer_found, offseason_found)
+    return F.concat_ws("\n", F.lit(S.PREVIEW_TITLE), totals, F.lit(S.PREVIEW_NOTE))
+
+
 def fields_text(fields: Column) -> Column:
     """All fields of a card in one line, for reports and comparisons."""
     return F.array_join(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,8 @@ from listingloom.functions.season import category_rank
 
 # Subscription rows are four short columns: this many stay far below 100 MB.
 BROADCAST_ROWS = 500_000
+# Deliveries that one task makes, roughly.
+ROWS_PER_TASK = 1_000_000
 
 
 def live_subscriptions(subscriptions: DataFrame, live_channels: DataFrame) -> DataFrame:
@@ -17,33 +21,54 @@ def live_subscriptions(subscriptions: DataFrame, live_channels: DataFrame) -> Da
     return subscriptions.join(live_channels.select("channel_id"), "channel_id", "left_semi")
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """How much a fan-out takes in and makes, by counts per category."""
+
+    subscriptions: int
+    deliveries: int
+
+
+def sizes(subscriptions: DataFrame, counts: DataFrame) -> Sizes:
+    per = subscriptions.groupBy("category").agg(F.count("*").alias("n"))
+    made = per.join(F.broadcast(counts), "category", "left").agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("new_count")), F.lit(0))
+    )
+    return Sizes(*made.first())
+
+
 def fan_out(
     numbered: DataFrame,
     subscriptions: DataFrame,
-    total: int,
+    size: Sizes,
     broadcast_rows: int = BROADCAST_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Every new listing to every subscription of its category.
 
-    ``numbered`` carries ``position``; ``total`` is the number of subscriptions.
-    There are only two join keys, so a plain shuffle would use two tasks. Up to
-    ``broadcast_rows`` subscriptions are broadcast. Beyond that, subscriptions are
-    cut into slices and listings into shares, and every (slice, share) pair is a
-    join key of its own.
+    ``numbered`` carries ``position``. There are only two join keys, so a plain shuffle would
+    use two tasks, and a plain broadcast as many as the few listings have splits. The number
+    of tasks follows from the rows to be made instead: listings are dealt out by position.
+    Up to ``broadcast_rows`` subscriptions are broadcast; beyond that they are cut into slices,
+    and every (category, slice, share of the listings) is a join key of its own.
     """
-    if total <= broadcast_rows:
-        return numbered.join(F.broadcast(subscriptions), "category")
-
-    slices = -(-total // max(broadcast_rows, 1))
-    tasks = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = max(1, tasks // slices)
+    wanted = [c for c in ("guild_id", "category", "channel_id", "guild_order", "seq_before") if c in subscriptions.columns]
+    subscriptions = subscriptions.select(wanted)
+    tasks = max(1, -(-size.deliveries // rows_per_task))
+    if size.subscriptions <= broadcast_rows:
+        dealt = numbered.repartition(tasks, "position") if tasks > 1 else numbered
+        return dealt.join(F.broadcast(subscriptions), "category")
+
+    slices = -(-size.subscriptions // max(broadcast_rows, 1))
+    shares = max(1, -(-tasks // slices))
     cut = subscriptions.withColumn(
         "slice", F.pmod(F.xxhash64("guild_id", "channel_id"), F.lit(slices))
     ).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     spread = numbered.withColumn("share", F.pmod("position", F.lit(shares))).withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
     )
-    return spread.join(cut, ["category", "slice", "share"]).drop("slice", "share")
+    keys, parts = ["category", "slice", "share"], 2 * slices * shares
+    return spread.repartition(parts, *keys).join(cut.repartition(parts, *keys), keys).drop("slice", "share")
 
 
 def delivery_starts(subscriptions: DataFrame, counts: DataFrame) -> DataFrame:
@@ -69,6 +94,8 @@ def deliveries(
     subscriptions: DataFrame,
     counts: DataFrame,
     broadcast_rows: int = BROADCAST_ROWS,
+    rows_per_task: int = ROWS_PER_TASK,
+    size: Sizes | None = None,
 ) -> DataFrame:
     """Fan-out with ``seq``, the place of a delivery in its channel.
 
@@ -76,7 +103,7 @@ def deliveries(
     """
     starts = delivery_starts(subscriptions, counts)
     return (
-        fan_out(numbered, starts, subscriptions.count(), broadcast_rows)
+        fan_out(numbered, starts, size or sizes(subscriptions, counts), broadcast_rows, rows_per_task)
         .withColumn("seq", F.col("seq_before") + F.col("position"))
         .drop("seq_before")
     )

@@ -53,6 +53,27 @@ def total_new(counts: DataFrame) -> DataFrame:
     return counts.agg(F.sum("new_count").alias("total_new"))
 
 
+STATISTICS = (
+    "processed bigint, filtered bigint, summer_found bigint, offseason_found bigint, "
+    "rejected bigint, summer_new bigint, offseason_new bigint, total_new bigint, deliveries bigint"
+)
+
+
+def run_statistics(found: DataFrame, counts: DataFrame, deliveries: int) -> DataFrame:
+    """One row as ``STATISTICS``, of the counters and the new counts of a run."""
+
+    def new(category: str):
+        return counts.agg(F.sum(F.when(F.col("category") == category, F.col("new_count")))).scalar()
+
+    return found.select(
+        "*",
+        new(SUMMER).alias("summer_new"),
+        new(OFFSEASON).alias("offseason_new"),
+        total_new(counts).scalar().alias("total_new"),
+        F.lit(deliveries).cast("bigint").alias("deliveries"),
+    )
+
+
 def delivery_stats(log: DataFrame, counts: DataFrame) -> DataFrame:
     """One row: posted per category, errors of both, and the count of new listings.
 

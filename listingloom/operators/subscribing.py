@@ -13,11 +13,12 @@ def admit(changes: DataFrame, channel_facts: DataFrame) -> DataFrame:
 
     ``changes``: seq, guild_id, category, channel_id.
     ``channel_facts``: channel_id, owner_guild_id, can_send, can_embed.
-    Permissions are checked before ownership; an unknown channel has no permission.
+    Permissions are checked before ownership; an unknown channel has no permission, and one
+    without a known owner belongs to no guild.
     """
     permitted = F.coalesce(F.col("can_send") & F.col("can_embed"), F.lit(False))
     refusal = F.when(~permitted, F.lit("no_permission")).when(
-        F.col("owner_guild_id") != F.col("guild_id"), F.lit("other_guild")
+        ~F.col("owner_guild_id").eqNullSafe(F.col("guild_id")), F.lit("other_guild")
     )
     return (
         changes.join(channel_facts, "channel_id", "left")

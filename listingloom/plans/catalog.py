@@ -14,9 +14,9 @@ from listingloom.operators import diff, ranking, replay, routing, select, stats,
 from listingloom.plans import runs
 from listingloom.schema import LISTING
 from listingloom.session import prepare, scratch
-from listingloom.sources import feed, tables
+from listingloom.sources import deliveries, feed, settings, subscriptions, tables
 from listingloom.sources.ledger import Ledger
-from listingloom.sources.params import DAY, run_params
+from listingloom.sources.params import DAY, RunParams, run_params
 from listingloom.streaming import keyed, manifest
 from listingloom.streaming.manifest import Entry
 from listingloom.streaming.runs import diff_run, listing_run, start_runs
@@ -41,20 +41,28 @@ def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.current(tables.listings(spark, sf_dir, posted_from=start), start)
 
 
-def _previous(spark: SparkSession, sf_dir: str, listings: DataFrame | None = None) -> DataFrame:
+def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[RunParams, RunParams]:
+    """The run 30 days earlier and the present one."""
+    now = tables.as_of(spark, sf_dir)
+    return tables.params_at(now, days_ago=30), tables.params_at(now)
+
+
+def _looked_at(listings: DataFrame, run: RunParams) -> DataFrame:
+    return select.current(listings.filter(F.col("date_posted") <= run.as_of), run.start)
+
+
+def _previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the run 30 days earlier looked at."""
-    then = tables.params(spark, sf_dir, days_ago=30)
-    if listings is None:
-        listings = tables.listings(spark, sf_dir, posted_from=then.start)
-    return select.current(listings.filter(F.col("date_posted") <= then.as_of), then.start)
+    then, _ = _two_runs(spark, sf_dir)
+    return _looked_at(tables.listings(spark, sf_dir, posted_from=then.start), then)
 
 
-def _new(spark: SparkSession, sf_dir: str, find=diff.new_listings) -> DataFrame:
+def _new(spark: SparkSession, sf_dir: str, listings: DataFrame | None = None, find=diff.new_listings) -> DataFrame:
     """Both runs read one derivation of the listings, so that Spark shuffles it once."""
-    then, now = tables.params(spark, sf_dir, days_ago=30), tables.params(spark, sf_dir)
-    listings = tables.listings(spark, sf_dir, posted_from=then.start)
-    seen = diff.all_ids(_previous(spark, sf_dir, listings))
-    return find(select.current(listings, now.start), seen)
+    then, now = _two_runs(spark, sf_dir)
+    if listings is None:
+        listings = tables.listings(spark, sf_dir, posted_from=then.start)
+    return find(select.current(listings, now.start), diff.all_ids(_looked_at(listings, then)))
 
 
 def _live_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +195,11 @@ def new_listings(spark, sf_dir):
 
 @query
 def new_listings_narrow(spark, sf_dir):
-    return _new(spark, sf_dir, diff.new_listings_narrow).select(
+    """From stored listings, of which the narrow comparison reads two columns."""
+    path = scratch(spark, "listings")
+    tables.listings(spark, sf_dir).write.parquet(path)
+    landed = spark.read.schema(LISTING).parquet(path)
+    return _new(spark, sf_dir, landed, diff.new_listings_narrow).select(
         "category", "id", "company_name", "date_posted"
     )
 
@@ -230,15 +242,18 @@ def delivery_order(spark, sf_dir):
 
 @query
 def delivery_stats(spark, sf_dir):
-    deliveries, counts = _deliveries(spark, sf_dir)
-    return stats.delivery_stats(tables.delivery_log(deliveries), counts)
+    """Attempts at the deliveries of a run, logged and read back: each one's last outcome."""
+    made, counts = _deliveries(spark, sf_dir)
+    path = scratch(spark, "attempts")
+    deliveries.record_attempts(tables.delivery_attempts(made, run_no=2), path)
+    log = deliveries.read_log(spark, path)
+    return stats.delivery_stats(log.filter(F.col("run_no") == 2), counts)
 
 
-@query
-def run_outbox(spark, sf_dir):
-    """Two full runs through the ledger over a stored feed; the outbox of the second."""
+def _ledger_of_two_runs(spark: SparkSession, sf_dir: str) -> Ledger:
+    """Two full runs through the ledger over a stored feed."""
     ledger, path = Ledger(spark, scratch(spark, "runs")), scratch(spark, "listings")
-    before, now = tables.params(spark, sf_dir, days_ago=30), tables.params(spark, sf_dir)
+    before, now = _two_runs(spark, sf_dir)
     tables.listings(spark, sf_dir, posted_from=before.start).write.parquet(path)
     stored = spark.read.schema(LISTING).parquet(path)
     for run_no, params in enumerate((before, now), 1):
@@ -250,8 +265,46 @@ def run_outbox(spark, sf_dir):
             tables.live_channels(spark, sf_dir),
             params,
         )
-    return spark.read.parquet(ledger.path("outbox", 2)).select(
-        "category", "guild_id", "channel_id", "seq", "id", *_flat_card()
+    return ledger
+
+
+@query
+def run_outbox(spark, sf_dir):
+    """What is to be sent after the second of two runs, with its cards."""
+    sent = runs.outbox(_ledger_of_two_runs(spark, sf_dir)).filter(F.col("run_no") == 2)
+    return sent.select("category", "guild_id", "channel_id", "seq", "id", *_flat_card())
+
+
+@query
+def run_statistics(spark, sf_dir):
+    return runs.statistics(_ledger_of_two_runs(spark, sf_dir))
+
+
+@query
+def count_card(spark, sf_dir):
+    report = runs.count_cards(_ledger_of_two_runs(spark, sf_dir))
+    return report.select(
+        "run_no", F.col("card.title").alias("card_title"), F.col("card.color").alias("color"),
+        cards.fields_text(F.col("card.fields")).alias("fields"),
+    )
+
+
+@query
+def preview_header(spark, sf_dir):
+    params = tables.params(spark, sf_dir)
+    return runs.preview_header(tables.listings(spark, sf_dir, posted_from=params.start), params)
+
+
+@query
+def fan_out_sliced(spark, sf_dir):
+    """New listings to all customers that have set a channel, by slices; totals per listing."""
+    stored = ranking.store_newest_first(_new(spark, sf_dir), scratch(spark, "new"))
+    made = routing.deliveries(
+        ranking.with_positions(stored), _subscribed(spark, sf_dir), stats.new_counts(stored),
+        broadcast_rows=200, rows_per_task=200_000,
+    )
+    return made.groupBy("category", "id").agg(
+        F.count("*").alias("deliveries"), F.sum("channel_id").alias("channels"), F.sum("seq").alias("places")
     )
 
 
@@ -282,9 +335,43 @@ def subscription_upsert(spark, sf_dir):
     return _subscribed(spark, sf_dir)
 
 
+def _stored_changes(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch(spark, "changes")
+    subscriptions.record_changes(
+        tables.channel_changes(spark, sf_dir), tables.channel_facts(spark, sf_dir), path
+    )
+    return path
+
+
+@query
+def summer_channels(spark, sf_dir):
+    """From the stored log, all channels of a category, repeats included."""
+    stored = subscriptions.read_subscriptions(spark, _stored_changes(spark, sf_dir))
+    return subscribing.category_channels(stored, "summer")
+
+
+@query
+def guild_channels(spark, sf_dir):
+    """From the stored log, the channels of the guild that was first stored."""
+    stored = subscriptions.read_subscriptions(spark, _stored_changes(spark, sf_dir))
+    first = stored.agg(F.min_by("guild_id", "guild_order")).first()[0]
+    return subscribing.guild_channels(stored, first)
+
+
+@query
+def stored_settings(spark, sf_dir):
+    """Settings after all changes, and how many changes were refused for each reason."""
+    path = scratch(spark, "settings")
+    refused = settings.record_settings(tables.setting_changes(spark, sf_dir), path)
+    count = lambda reason: F.count_if(F.col("refusal") == reason).alias(reason)
+    return settings.read_settings(spark, path).join(
+        F.broadcast(refused.agg(count("bad_interval"), count("bad_start"), count("nothing_set")))
+    )
+
+
 @query
 def category_channels(spark, sf_dir):
-    """Summer channels of all guilds with their place in stored order."""
+    """Channels of all guilds in stored order within their category."""
     stored = ranking.store_in_order(
         _subscribed(spark, sf_dir),
         [season.category_rank(F.col("category")), F.col("guild_order")],
@@ -323,7 +410,8 @@ def json_rejects(spark, sf_dir):
     rules = [strict.Rule("k", T.LongType())]
     bodies = feed.spread(tables.event_bodies(spark, sf_dir))
     checked = strict.validate(feed.parse_bodies(bodies), rules)
-    return strict.rejected(checked).groupBy("reject_reason").agg(F.count("*").alias("records"))
+    # A condition on the count, unlike one on the reason, stays above the validation.
+    return checked.groupBy("reject_reason").agg(F.count("reject_reason").alias("records")).filter("records > 0")
 
 
 @query
@@ -358,13 +446,17 @@ def feed_landed(spark, sf_dir):
 
 @query
 def feed_array(spark, sf_dir):
-    """Array documents of three elements: a record, a text, the record again."""
+    """Array documents of three elements: a record, a text, the record again.
+
+    A record that is not JSON stands in its document as a text.
+    """
     bodies = feed.spread(tables.listing_bodies(spark, sf_dir))
-    sound = bodies.filter(F.try_parse_json("body").isNotNull())
-    document = F.concat(
-        F.lit("[ "), F.col("body"), F.lit(', "text",\n'), F.col("body"), F.lit(" ]")
+    quoted = F.to_json(F.array("body"))
+    element = F.when(F.col("sound"), F.col("body")).otherwise(
+        F.substring(quoted, F.lit(2), F.length(quoted) - 2)
     )
-    records = feed.explode_documents(sound.select("line_key", document.alias("document")))
+    document = F.concat(F.lit("[ "), element, F.lit(', "text",\n'), element, F.lit(" ]"))
+    records = feed.explode_documents(bodies.select("line_key", document.alias("document")))
     return strict.validate(records).select(
         "line_key",
         F.col("place").cast("bigint").alias("place"),
@@ -382,31 +474,35 @@ def snapshot_replay(spark, sf_dir):
     )
 
 
-def _land_event_snapshots(spark: SparkSession, sf_dir: str) -> tuple[str, list[Entry]]:
-    """Stores the snapshots by run; one manifest entry per day, also for a day without events."""
+def _in_two_goes(spark: SparkSession, listed: str, entries: list[Entry], root: str, run) -> None:
+    """A manifest file and a batch per run; stopped half way, reopened and gone on with."""
+    state, half = scratch(spark, "stream"), len(entries) // 2
+    for some in (entries[:half], entries[half:]):
+        for entry in some:
+            manifest.append(spark, listed, [entry])
+        source = manifest.read_stream(spark, listed, files_per_batch=1)
+        start_runs(source, Ledger(spark, root), run, state).awaitTermination()
+
+
+def _land_event_snapshots(spark: SparkSession, sf_dir: str) -> list[Entry]:
+    """Stores each snapshot in a folder; one manifest entry per day, also for a day without events."""
     path = scratch(spark, "snapshots")
     rows = tables.event_snapshots(spark, sf_dir)
     rows.write.partitionBy("run_no").parquet(path)
     first, last = rows.agg(F.min("run_no"), F.max("run_no")).first()
-    return path, [Entry(n, path, n * DAY) for n in range(first, last + 1)]
+    return [Entry(n, f"{path}/run_no={n}", n * DAY) for n in range(first, last + 1)]
 
 
 @query
 def stream_new(spark, sf_dir):
     """The history as a stream of snapshots with a replaced seen set."""
-    path, entries = _land_event_snapshots(spark, sf_dir)
-    listed = scratch(spark, "manifest")
-    manifest.append(spark, listed, entries)
-    ledger = Ledger(spark, scratch(spark, "ledger"))
-    stored = spark.read.schema("category string, id string, event_id bigint, run_no bigint")
-    snapshots = stored.parquet(path)
-    start_runs(
-        manifest.read_stream(spark, listed),
-        ledger,
-        diff_run(lambda entry: snapshots.filter(F.col("run_no") == entry.run_no)),
-        scratch(spark, "stream"),
-    ).awaitTermination()
-    new = ledger.read_all("new", "category string, id string, event_id bigint, run_no bigint")
+    entries = _land_event_snapshots(spark, sf_dir)
+    root = scratch(spark, "ledger")
+    columns = "category string, id string, event_id bigint"
+    run = diff_run(lambda entry: manifest.read_snapshot(spark, entry, columns))
+    _in_two_goes(spark, scratch(spark, "manifest"), entries, root, run)
+    ledger = Ledger(spark, root)
+    new = ledger.read("new", "category string, id string, event_id bigint")
     return new.select("run_no", "category", "id", "event_id")
 
 
@@ -414,12 +510,18 @@ def stream_new(spark, sf_dir):
 def stream_new_keyed(spark, sf_dir):
     """The history as a stream of keys with keyed state; new keys pick the rows."""
     rows = tables.event_snapshots(spark, sf_dir)
-    landed, fresh = scratch(spark, "keys"), scratch(spark, "fresh")
-    keyed.land_keys(rows, landed)
-    stream = keyed.fresh_keys(keyed.read_keys(spark, landed)).writeStream.format("parquet")
-    stream.option("path", fresh).option("checkpointLocation", scratch(spark, "stream")).trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    landed, fresh, state = scratch(spark, "keys"), scratch(spark, "fresh"), scratch(spark, "stream")
+    first, last = rows.agg(F.min("run_no"), F.max("run_no")).first()
+    middle = (first + last) // 2
+    # Weeks of the history, each landed by itself; stopped half way and gone on with.
+    for low, high in ((first, middle), (middle + 1, last)):
+        for week in range(low, high + 1, 7):
+            part = rows.filter(F.col("run_no").between(week, min(week + 6, high)))
+            keyed.land_keys(part.coalesce(1), landed)
+        stream = keyed.fresh_keys(keyed.read_keys(spark, landed, files_per_batch=1)).writeStream
+        stream.format("parquet").option("path", fresh).option("checkpointLocation", state).trigger(
+            availableNow=True
+        ).start().awaitTermination()
     keys = spark.read.schema(keyed.KEYS).parquet(fresh)
     return rows.join(keys, ["category", "id", "run_no"], "left_semi").select(
         "run_no", "category", "id", "event_id"
@@ -436,22 +538,26 @@ def rolling_runs(spark, sf_dir):
     end = tables.as_of(spark, sf_dir)
     path, listed = scratch(spark, "listings"), scratch(spark, "manifest")
     tables.listings(spark, sf_dir, posted_from=end - 180 * DAY).write.parquet(path)
-    entries = [Entry(n, path, end - (5 - n) * 30 * DAY) for n in range(1, 6)]
-    manifest.append(spark, listed, entries)
+    entries = []
+    for n in range(1, 6):
+        as_of = end - (5 - n) * 30 * DAY
+        entries.append(Entry(n, f"{path}-{n}", as_of))
     stored = spark.read.schema(LISTING).parquet(path)
-    subscriptions = tables.subscriptions(spark, sf_dir)
-    summer_only = subscriptions.filter(F.col("category") == "summer")
-    ledger = Ledger(spark, scratch(spark, "ledger"))
+    subscribed = tables.subscriptions(spark, sf_dir)
+    summer_only = subscribed.filter(F.col("category") == "summer")
+    for entry in entries:
+        stored.filter(F.col("date_posted") <= entry.as_of).write.parquet(entry.snapshot)
+
+    def snapshot(path: str) -> DataFrame:
+        return spark.read.schema(LISTING).parquet(path)
+
+    root = scratch(spark, "ledger")
     run = listing_run(
-        lambda entry: stored.filter(F.col("date_posted") <= entry.as_of),
-        lambda entry: summer_only if entry.run_no == 3 else subscriptions,
+        lambda entry: snapshot(entry.snapshot),
+        lambda entry: summer_only if entry.run_no == 3 else subscribed,
         lambda _entry: tables.live_channels(spark, sf_dir),
         lambda entry: run_params(entry.as_of, days_back=60),
     )
-    start_runs(
-        manifest.read_stream(spark, listed), ledger, run, scratch(spark, "stream")
-    ).awaitTermination()
-    outbox = spark.read.parquet(f"{ledger.root}/outbox")
-    return outbox.select(
-        F.col("run").cast("bigint").alias("run_no"), "category", "channel_id", "seq", "id"
-    )
+    _in_two_goes(spark, listed, entries, root, run)
+    ledger = Ledger(spark, root)
+    return ledger.read("outbox", runs.OUTBOX).select("run_no", "category", "channel_id", "seq", "id")

@@ -87,6 +87,28 @@ deliveries AS (
   FROM fresh f JOIN reachable r ON f.category = r.category
 )"""
 
+_STATISTICS = f"""{_DELIVERIES},
+stored AS (SELECT l.* FROM listings l, clock WHERE date_posted >= as_of - 395 * {_DAY}),
+statistics AS (
+  SELECT CAST(1 AS BIGINT) AS run_no, count(*) AS processed, CAST(0 AS BIGINT) AS filtered,
+         (SELECT count(*) FROM prev WHERE category = 'summer') AS summer_found,
+         (SELECT count(*) FROM prev WHERE category = 'offseason') AS offseason_found,
+         CAST(0 AS BIGINT) AS rejected,
+         (SELECT count(*) FROM prev WHERE category = 'summer') AS summer_new,
+         (SELECT count(*) FROM prev WHERE category = 'offseason') AS offseason_new,
+         (SELECT count(*) FROM prev) AS total_new,
+         (SELECT count(*) FROM prev p JOIN reachable r ON p.category = r.category) AS deliveries
+  FROM stored, clock WHERE date_posted <= as_of - 30 * {_DAY}
+  UNION ALL
+  SELECT 2, count(*), count(*) FILTER (active AND is_visible AND date_posted < as_of - 365 * {_DAY}),
+         (SELECT count(*) FROM cur WHERE category = 'summer'),
+         (SELECT count(*) FROM cur WHERE category = 'offseason'), 0,
+         (SELECT count(*) FROM fresh WHERE category = 'summer'),
+         (SELECT count(*) FROM fresh WHERE category = 'offseason'),
+         (SELECT count(*) FROM fresh), (SELECT count(*) FROM deliveries)
+  FROM stored, clock
+)"""
+
 _CARD = f"""
 company_name || ' - ' || title AS card_title,
 CAST(CASE WHEN is_summer THEN {S.GOLD} ELSE {S.BLUE} END AS BIGINT) AS color,
@@ -136,7 +158,7 @@ lines AS (
 ),
 judged AS (
   SELECT *,
-         CASE WHEN l_quantity IN (46, 50) THEN 'bad_json'
+         CASE WHEN l_quantity IN (1, 2, 3, 4, 46, 50) THEN 'bad_json'
               WHEN l_quantity IN (47, 48, 49) THEN 'not_an_object'
               WHEN l_linenumber = 7 AND l_quantity <> 45 THEN 'id: bad_type'
               WHEN l_linenumber IN (4, 5, 6) THEN 'locations: bad_type'
@@ -227,6 +249,56 @@ ORACLES: dict[str, str] = {
         FROM deliveries""",
     "run_outbox": f"""WITH {_DELIVERIES}
         SELECT category, guild_id, channel_id, seq, id, {_CARD} FROM deliveries""",
+    "run_statistics": f"""WITH {_STATISTICS}
+        SELECT * FROM statistics""",
+    "count_card": f"""WITH {_STATISTICS}
+        SELECT run_no, '{S.COUNT_TITLE}' AS card_title, CAST({S.GREEN} AS BIGINT) AS color,
+               '{S.SUMMER_COUNT_FIELD}=' || summer_new || ' new | {S.OFFSEASON_COUNT_FIELD}=' ||
+               offseason_new || ' new' AS fields
+        FROM statistics""",
+    "preview_header": f"""WITH {_CURRENT}
+        SELECT '{S.PREVIEW_TITLE}' || chr(10) || '📊 Total found: ' ||
+               count(*) FILTER (category = 'summer') || ' summer, ' ||
+               count(*) FILTER (category = 'offseason') || ' off-season' || chr(10) ||
+               '{S.PREVIEW_NOTE}' AS header
+        FROM cur""",
+    "fan_out_sliced": f"""WITH {_NEW},{_CHECKED},
+        amounts AS (SELECT category, count(*) AS n FROM fresh GROUP BY category),
+        starts AS (
+          SELECT s.*, coalesce(sum(coalesce(n, 0)) OVER (
+                   PARTITION BY channel_id ORDER BY CASE WHEN s.category = 'summer' THEN 0 ELSE 1 END,
+                   guild_order, guild_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM subscribed s LEFT JOIN amounts a ON a.category = s.category),
+        numbered AS (
+          SELECT category, id,
+                 row_number() OVER (PARTITION BY category ORDER BY date_posted DESC, id) AS position
+          FROM fresh)
+        SELECT f.category, f.id, count(*) AS deliveries, CAST(sum(channel_id) AS BIGINT) AS channels,
+               CAST(sum(position + before) AS BIGINT) AS places
+        FROM numbered f JOIN starts s ON s.category = f.category GROUP BY f.category, f.id""",
+    "summer_channels": f"""WITH {_CHECKED}
+        SELECT channel_id FROM subscribed WHERE category = 'summer'""",
+    "guild_channels": f"""WITH {_CHECKED}
+        SELECT guild_id, category, channel_id, guild_order FROM subscribed
+        WHERE guild_order = (SELECT min(seq) FROM admitted)""",
+    "stored_settings": """
+        WITH changes AS (
+          SELECT o_orderkey AS seq,
+                 CASE WHEN o_orderpriority = '1-URGENT' THEN (o_custkey % 401) / 2 END AS hours,
+                 CASE WHEN o_orderpriority = '2-HIGH' THEN CAST(epoch(o_orderdate) AS BIGINT) *
+                   CASE WHEN o_custkey % 5 = 0 THEN -1 ELSE 1 END END AS start
+          FROM orders),
+        kept AS (
+          SELECT * FROM changes WHERE (hours IS NULL OR hours BETWEEN 0.5 AND 168)
+          AND (start IS NULL OR start > 0))
+        SELECT coalesce((SELECT arg_max(hours, seq) FROM kept WHERE hours IS NOT NULL), 6.0::DOUBLE)
+                 AS scrape_interval_hours,
+               (SELECT arg_max(start, seq) FROM kept WHERE start IS NOT NULL)
+                 AS scrape_start_timestamp,
+               count(*) FILTER (NOT (hours BETWEEN 0.5 AND 168)) AS bad_interval,
+               count(*) FILTER (start <= 0) AS bad_start,
+               count(*) FILTER (hours IS NULL AND start IS NULL) AS nothing_set
+        FROM changes""",
     "channel_admission": f"""WITH {_CHECKED}
         SELECT seq, guild_id, category, channel_id, outcome FROM checked""",
     "subscription_upsert": f"""WITH {_CHECKED}
@@ -287,8 +359,9 @@ ORACLES: dict[str, str] = {
         FROM judged, clock""",
     "feed_array": f"""WITH {_FEED}
         SELECT line_key, CAST(place AS BIGINT) AS place,
-               CASE place WHEN 1 THEN 'not_an_object' ELSE reason END AS reason
-        FROM judged, (VALUES (0), (1), (2)) p(place) WHERE reason <> 'bad_json'""",
+               CASE WHEN place = 1 OR reason = 'bad_json' THEN 'not_an_object' ELSE reason END
+                 AS reason
+        FROM judged, (VALUES (0), (1), (2)) p(place)""",
     "snapshot_replay": _REPLAY,
     "stream_new": _REPLAY,
     "stream_new_keyed": _REPLAY,

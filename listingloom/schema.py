@@ -17,6 +17,7 @@ CATEGORIES = (SUMMER, OFFSEASON)
 GOLD = 0xF1C40F
 BLUE = 0x3498DB
 BLURPLE = 0x5865F2
+GREEN = 0x2ECC71
 SUMMER_EMOJI = "☀️"
 OFFSEASON_EMOJI = "❄️"
 LOCATION_FIELD = "📍 Location"
@@ -28,6 +29,12 @@ INTERVAL_FIELD = "⏰ Scrape Interval"
 SINCE_FIELD = "📅 Scraping From"
 CONFIG_TITLE_PREFIX = "⚙️ Configuration for "
 SINCE_PREFIX = "Internships posted after "
+COUNT_TITLE = "📊 New Internships Found"
+SUMMER_COUNT_FIELD = "☀️ Summer"
+OFFSEASON_COUNT_FIELD = "❄️ Off-Season"
+PREVIEW_TITLE = "🔍 **Test Scrape Results**"
+PREVIEW_TOTALS = "📊 Total found: %d summer, %d off-season"
+PREVIEW_NOTE = "Showing 5 most recent from each category:"
 NO_LOCATION = "Location not specified"
 NOT_CONFIGURED = "Not configured"
 NO_CHANNELS_HINT = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -40,9 +41,16 @@ def _local_root() -> str:
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh folder below the shared folder of the session.
 
-    A local folder is used only where the cluster names none, as in tests.
+    That is the one named by ``spark.checkpoint.dir``, or else the context's checkpoint folder.
+    Where neither is set a folder of this machine is used, but only if all work is done by this
+    process: executors elsewhere would each write to a disk of their own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("no shared folder is named: set spark.checkpoint.dir")
+        root = _local_root()
     return f"{root.rstrip('/')}/listingloom/{purpose}-{uuid.uuid4().hex}"

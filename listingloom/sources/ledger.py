@@ -1,8 +1,8 @@
 """Versioned run tables: the seen set, new listings and the outbox of each run.
 
 Nothing is overwritten while it is read: run N writes folders of its own and
-becomes visible with its commit. A run that failed is written again by its retry.
-One writer per ledger.
+becomes visible with its commit: ``read`` looks at committed, executed runs alone. A run
+that failed is written again by its retry. One writer per ledger.
 
     <root>/seen/run=N      (category, id) of run N; replaces that of run N-1
     <root>/new/run=N       new listings in order
@@ -43,13 +43,7 @@ class Ledger:
         return f"{self.root}/{table}/run={run_no}"
 
     def _load_last(self) -> Commit | None:
-        try:
-            commits = self.spark.read.schema(COMMIT).json(f"{self.root}/commits/*")
-        except AnalysisException as missing:
-            if missing.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        row = commits.agg(F.max(F.struct("run_no", "executed", "seen_run")).alias("c")).first()
+        row = self.commits().agg(F.max(F.struct("run_no", "executed", "seen_run")).alias("c")).first()
         return Commit(**row["c"].asDict()) if row["c"] else None
 
     @property
@@ -57,9 +51,26 @@ class Ledger:
         """The newest committed run."""
         return self._last
 
+    def commits(self) -> DataFrame:
+        """All commits, a row per run."""
+        try:
+            return self.spark.read.schema(COMMIT).json(f"{self.root}/commits/*")
+        except AnalysisException as missing:
+            if missing.getCondition() == "PATH_NOT_FOUND":
+                return self.spark.createDataFrame([], COMMIT)
+            raise
+
     def is_done(self, run_no: int) -> bool:
-        """Runs commit in order, so everything up to the last commit is done."""
-        return self._last is not None and run_no <= self._last.run_no
+        """Whether a run has a commit of its own.
+
+        A run that comes after a later one was committed can't be fitted in, as the later one
+        has been compared with what was there: it raises.
+        """
+        if self._last is None or run_no > self._last.run_no:
+            return False
+        if run_no == self._last.run_no or not self.commits().filter(F.col("run_no") == run_no).isEmpty():
+            return True
+        raise ValueError(f"run {run_no} is late: run {self._last.run_no} is already committed")
 
     def seen(self) -> DataFrame:
         """The seen set of the previous executed run; empty before the first."""
@@ -74,14 +85,22 @@ class Ledger:
     def write(self, table: str, run_no: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(self.path(table, run_no))
 
-    def read_all(self, table: str, schema) -> DataFrame:
-        """All runs of a table, with the run number as ``run``."""
+    def read(self, table: str, schema: str) -> DataFrame:
+        """The rows of all executed, committed runs of a table, with their run as ``run_no``.
+
+        What a failed or a skipped run has left behind is not read: deliveries are drained
+        from here, not from the folders.
+        """
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+            rows = self.spark.read.schema(f"{schema}, run bigint").parquet(f"{self.root}/{table}")
         except AnalysisException as missing:
             if missing.getCondition() == "PATH_NOT_FOUND":
-                return self.spark.createDataFrame([], schema)
+                return self.spark.createDataFrame([], f"{schema}, run_no bigint")
             raise
+        executed = self.commits().filter("executed").select(F.col("run_no").alias("run"))
+        return rows.join(executed, "run", "left_semi").select(
+            *(c for c in rows.columns if c != "run"), F.col("run").alias("run_no")
+        )
 
     def commit(self, run_no: int, executed: bool) -> None:
         """A skipped run carries the seen set forward untouched."""

@@ -28,6 +28,10 @@ SCHEMAS = {
 }
 
 
+# Suppliers with the name of their nation: so many rows stay below 10 MB.
+FEW = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,6 +72,9 @@ def listings(spark: SparkSession, sf_dir: str, posted_from: int | None = None) -
     places = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", "n_name"
     )
+    # Else the planner may broadcast the line items, as the smaller file, and probe from here.
+    if supplier.limit(FEW + 1).count() <= FEW:
+        places = F.broadcast(places)
     # Sets, so that copies collapse before the shuffle however many lines an order has.
     details = (
         lines.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -110,9 +117,13 @@ def as_of(spark: SparkSession, sf_dir: str) -> int:
     return newest.select(_seconds(F.col("d"))).first()[0]
 
 
-def params(spark: SparkSession, sf_dir: str, days_ago: int = 0) -> RunParams:
+def params_at(now: int, days_ago: int = 0) -> RunParams:
     """A window of one year; ``days_ago`` gives the run that many days earlier."""
-    return run_params(as_of(spark, sf_dir) - days_ago * DAY, days_back=365)
+    return run_params(now - days_ago * DAY, days_back=365)
+
+
+def params(spark: SparkSession, sf_dir: str) -> RunParams:
+    return params_at(as_of(spark, sf_dir))
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +149,30 @@ def live_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.select(F.explode(F.array(key + 1000, key + 2000)).alias("channel_id"))
 
 
-def delivery_log(deliveries: DataFrame) -> DataFrame:
-    """What a drainer would report: every 97th listing fails to send."""
-    failed = F.col("id").cast("bigint") % 97 == 0
-    return deliveries.select(
-        "category", "channel_id", "id", F.when(failed, "failed").otherwise("sent").alias("status")
+def delivery_attempts(deliveries: DataFrame, run_no: int) -> DataFrame:
+    """What a drainer would report: every 89th listing is sent at the second attempt only,
+    every 97th fails at both."""
+    key = F.col("id").cast("bigint")
+    lost = key % 97 == 0
+    attempts = F.when(lost | (key % 89 == 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    rows = deliveries.withColumn("attempt", F.explode(attempts))
+    failed = lost | ((key % 89 == 0) & (F.col("attempt") == 1))
+    return rows.select(
+        F.lit(run_no).cast("bigint").alias("run_no"), "channel_id", "seq", "attempt", "category", "id",
+        F.when(failed, "failed").otherwise("sent").alias("status"),
+    )
+
+
+def setting_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as changes of settings: intervals in half hours up to 200 hours, start dates
+    of which some lie before 1970; all other orders change nothing."""
+    interval = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey") % 401 / 2)
+    sign = F.when(F.col("o_custkey") % 5 == 0, -1).otherwise(1)
+    start = F.when(F.col("o_orderpriority") == "2-HIGH", _seconds(F.col("o_orderdate")) * sign)
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        interval.cast("double").alias("scrape_interval_hours"),
+        start.alias("scrape_start_timestamp"),
     )
 
 
@@ -226,9 +256,10 @@ concat('{',
     ELSE ', "company_url": "https://example.com"' END,
   ', "date_updated": ', posted, '}')"""
 
-# Quantities above 45 damage the whole record.
+# Quantities above 45 and below 5 damage the whole record.
 _DAMAGED = """
-CASE l_quantity WHEN 50 THEN left(record, length(record) - 1) WHEN 49 THEN '"just text"'
+CASE l_quantity WHEN 1 THEN concat(record, ' trailing') WHEN 2 THEN concat(record, record)
+  WHEN 3 THEN concat(record, '],[', record) WHEN 4 THEN replace(record, '"', "'") WHEN 50 THEN left(record, length(record) - 1) WHEN 49 THEN '"just text"'
   WHEN 48 THEN '[1, 2]' WHEN 47 THEN 'null' WHEN 46 THEN concat('NULL ', record)
   ELSE record END"""
 
@@ -244,5 +275,5 @@ def listing_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(unix_seconds(CAST(l_shipdate AS TIMESTAMP)) AS STRING) AS posted",
     )
     return lines.selectExpr("*", f"{_RECORD} AS record").selectExpr(
-        "line_key", "l_orderkey", f"{_DAMAGED} AS body"
+        "line_key", "l_orderkey", f"{_DAMAGED} AS body", "l_quantity NOT IN (1, 2, 3, 4, 46, 50) AS sound"
     )

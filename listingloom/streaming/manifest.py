@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import astuple, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 MANIFEST = "run_no bigint, snapshot string, as_of bigint"
@@ -28,6 +29,17 @@ def append(spark: SparkSession, path: str, entries: Iterable[Entry]) -> None:
     rows.coalesce(1).write.mode("append").json(path)
 
 
+def read_snapshot(spark: SparkSession, entry: Entry, schema: str) -> DataFrame:
+    """The rows of the snapshot that an entry names; an empty one may have no folder."""
+    try:
+        rows = spark.read.schema(schema).parquet(entry.snapshot)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], schema)
+    return rows
+
+
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(MANIFEST)
     if files_per_batch is not None:

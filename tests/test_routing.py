@@ -73,8 +73,11 @@ def test_deliveries_match_the_loop_broadcast_or_not(spark, frame, tmp_path):
     new = [("summer" if r[4] == ["Summer 2026"] else "offseason", r[0], r[9]) for r in rows]
     want = brute_force(new, subs)
     table = subscriptions(spark, subs)
-    for limit in (1000, 5, 1):
-        out = routing.deliveries(numbered, table, counts, broadcast_rows=limit)
+    for limit, per_task in ((1000, 10**6), (1000, 50), (5, 10**6), (5, 50), (1, 50)):
+        out = routing.deliveries(numbered, table, counts, broadcast_rows=limit, rows_per_task=per_task)
+        made = sum(1 for _ in want)
+        if per_task == 50:  # tasks grow with what is made, by broadcast or by slices
+            assert out.rdd.getNumPartitions() >= made // 50
         columns = ["category", "guild_id", "channel_id", "id", "seq"]
         assert sorted(tuple(r) for r in out.select(columns).collect()) == want
     last = routing.delivery_order(
