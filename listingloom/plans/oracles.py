@@ -6,7 +6,7 @@ from listingloom import schema as S
 
 _DAY = 86400
 
-_LISTINGS = """
+_LISTINGS = f"""
 details AS (
   SELECT l_orderkey,
          list_sort(list(DISTINCT n_name)) AS locations,
@@ -37,7 +37,7 @@ listings AS (
          len(list_filter(terms, lambda t: contains(t, 'Summer'))) > 0 AS is_summer,
          len(list_filter(terms, lambda t: regexp_matches(t, 'Fall|Winter|Spring'))) > 0
            AS is_offseason,
-         CASE WHEN len(locations) = 0 THEN 'Location not specified'
+         CASE WHEN len(locations) = 0 THEN '{S.NO_LOCATION}'
               ELSE array_to_string(locations, ', ') END AS location,
          strftime(to_timestamp(date_posted) AT TIME ZONE 'UTC', '%B %d, %Y') AS posted
   FROM bare
@@ -112,9 +112,9 @@ statistics AS (
 _CARD = f"""
 company_name || ' - ' || title AS card_title,
 CAST(CASE WHEN is_summer THEN {S.GOLD} ELSE {S.BLUE} END AS BIGINT) AS color,
-CASE WHEN is_summer THEN '☀️' ELSE '❄️' END || ' ' || array_to_string(terms, ', ') AS description,
-'📍 Location=' || location || ' | 📅 Posted=' || posted ||
-  CASE WHEN sponsorship = '' THEN '' ELSE ' | 🛂 Sponsorship=' || sponsorship END AS fields"""
+CASE WHEN is_summer THEN '{S.SUMMER_EMOJI}' ELSE '{S.OFFSEASON_EMOJI}' END || ' ' || array_to_string(terms, ', ') AS description,
+'{S.LOCATION_FIELD}=' || location || ' | {S.POSTED_FIELD}=' || posted ||
+  CASE WHEN sponsorship = '' THEN '' ELSE ' | {S.SPONSORSHIP_FIELD}=' || sponsorship END AS fields"""
 
 _CHECKED = """
 changes AS (
@@ -257,9 +257,9 @@ ORACLES: dict[str, str] = {
                offseason_new || ' new' AS fields
         FROM statistics""",
     "preview_header": f"""WITH {_CURRENT}
-        SELECT '{S.PREVIEW_TITLE}' || chr(10) || '📊 Total found: ' ||
-               count(*) FILTER (category = 'summer') || ' summer, ' ||
-               count(*) FILTER (category = 'offseason') || ' off-season' || chr(10) ||
+        SELECT '{S.PREVIEW_TITLE}' || chr(10) || replace(replace(
+                 '{S.PREVIEW_TOTALS}', '%d summer', count(*) FILTER (category = 'summer') || ' summer'),
+                 '%d off', count(*) FILTER (category = 'offseason') || ' off') || chr(10) ||
                '{S.PREVIEW_NOTE}' AS header
         FROM cur""",
     "fan_out_sliced": f"""WITH {_NEW},{_CHECKED},
@@ -320,13 +320,13 @@ ORACLES: dict[str, str] = {
                  max(channel_id) FILTER (category = 'offseason') AS o
           FROM customer LEFT JOIN subscribed ON c_custkey = guild_id
           GROUP BY c_custkey, c_name)
-        SELECT guild_id, '⚙️ Configuration for ' || c_name AS card_title,
+        SELECT guild_id, '{S.CONFIG_TITLE_PREFIX}' || c_name AS card_title,
                CAST({S.BLURPLE} AS BIGINT) AS color,
                CASE WHEN s IS NULL AND o IS NULL THEN '{S.NO_CHANNELS_HINT}' ELSE '' END
                  AS description,
-               '☀️ Summer Channel=' || coalesce('<#' || s || '>', 'Not configured') ||
-               ' | ❄️ Off-Season Channel=' || coalesce('<#' || o || '>', 'Not configured') ||
-               ' | ⏰ Scrape Interval=30 minutes | 📅 Scraping From=Internships posted after ' ||
+               '{S.SUMMER_CHANNEL_FIELD}=' || coalesce('<#' || s || '>', '{S.NOT_CONFIGURED}') ||
+               ' | {S.OFFSEASON_CHANNEL_FIELD}=' || coalesce('<#' || o || '>', '{S.NOT_CONFIGURED}') ||
+               ' | {S.INTERVAL_FIELD}=30 minutes | {S.SINCE_FIELD}={S.SINCE_PREFIX}' ||
                (SELECT strftime(max(o_orderdate) - INTERVAL 3 DAY, '%B %d, %Y') FROM orders)
                  AS fields
         FROM settings""",

@@ -12,9 +12,9 @@ def values(spark, column, items, type):
 
 
 def test_location_text(spark):
-    items = [["Mountain View, CA", "New York, NY"], []]
+    items = [["Tromsø", "Bergen, NO"], []]
     assert values(spark, text.location_text, items, "array<string>") == [
-        "Mountain View, CA, New York, NY",
+        "Tromsø, Bergen, NO",
         "Location not specified",
     ]
 
