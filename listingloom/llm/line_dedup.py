@@ -23,11 +23,13 @@ MIN_CHARS = 20
 def lines(docs: DataFrame) -> DataFrame:
     """A row per line long enough to compare: its document, number, text, 128-bit identity.
 
-    A document is known by its id and a hash of its text, as ids may repeat.
+    A document is known by its id and a hash of its text, as ids may repeat. The arrays that are
+    opened here are never empty; the outer form spares a check for that, for which Spark would
+    compute them once more.
     """
     text = text_or_empty()
     rows = docs.select(
-        "doc_id", F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("line_no", "line")
+        "doc_id", F.xxhash64(text).alias("th"), F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line")
     ).withColumn("len", F.length("line"))
     return rows.where(F.col("len") >= MIN_CHARS).withColumns(
         {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")}
@@ -137,7 +139,7 @@ def line_links(rows: DataFrame) -> DataFrame:
     """
     wide = rows.select("h1", "h2", "len", F.encode("line", "UTF-32").alias("wide"))
     texts = wide.groupBy("h1", "h2", "len", segment_keys(F.col("wide"), F.col("len")).alias("keys")).agg(F.count("*"))
-    keyed = texts.select("h1", "h2", "len", F.posexplode("keys").alias("at", "key")).select(
+    keyed = texts.select("h1", "h2", "len", F.posexplode_outer("keys").alias("at", "key")).select(
         "key", "h1", "h2", "len", (F.col("at") <= EDITS).alias("own")
     )
     group = Window.partitionBy("key")
@@ -148,7 +150,7 @@ def line_links(rows: DataFrame) -> DataFrame:
     )
     met = stored(hits.select("h1", "h2").distinct(), "met")
     chosen = stored(
-        maybe_in(rows.select("h1", "h2", "line"), "h1", met).join(met, ["h1", "h2"], "left_semi").distinct()
+        maybe_in(rows.select("h1", "h2", "line"), "h1", met).distinct().join(met, ["h1", "h2"], "left_semi")
         .withColumn("parity", _parity(F.col("line"))),
         "lines",
     )
