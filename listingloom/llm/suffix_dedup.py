@@ -164,9 +164,7 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = rows.groupBy("bucket", "ident").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in PLACE))
     classes = stored(classes, "classes")
     shared = classes.where("n > 1").select("bucket", "ident")
-    # Stored, so that the join of a large bucket can be split between tasks.
     several = classes.groupBy("bucket").agg(F.count("*").alias("_m")).where("_m > 1").select("bucket")
-    several = stored(several, "several")
     return rows.join(shared, ["bucket", "ident"], "left_semi"), classes.join(several, "bucket", "left_semi")
 
 
@@ -194,9 +192,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = _texts(docs).where(F.octet_length("data") >= LENGTH).withColumn("doc_id", F.col("doc_id").cast("string"))
     every = stored(texts.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long")), "suffixes")
     twice = every.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
-    twice = stored(twice, "twice")
+    twice = stored(twice, "twice")  # so that Spark can split the join of a large bucket
     # Copies of a text have the same suffixes: they meet here, before any bucket is looked at.
-    rows = every.join(twice, "bucket", "left_semi").groupBy("d1", "d2", "a", "lo", "hi", "bucket", "ident").agg(
+    rows = maybe_in(every, "bucket", twice).join(twice, "bucket", "left_semi").groupBy("d1", "d2", "a", "lo", "hi", "bucket", "ident").agg(
         F.count("*").alias("n"), F.first("doc_id").alias("doc_id")
     )
     first, open_ = _settle(stored(rows, "buckets"))
@@ -205,7 +203,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     level3 = _refined(docs, open_, windows, "windows")
     often = level3.groupBy("bucket", "ident").agg(F.sum("n").alias("_n")).where("_n > 1").select("bucket", "ident")
     often = stored(often, "often")
-    third = level3.where("n = 1").join(often, ["bucket", "ident"], "left_semi")
+    third = maybe_in(level3.where("n = 1"), "bucket", often).join(often, ["bucket", "ident"], "left_semi")
     spans = _start_end(first).unionByName(_start_end(second.where("n = 1"))).unionByName(_start_end(third))
     lists = spans.groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
