@@ -50,6 +50,14 @@ def test_queries_have_the_agreed_columns_and_rows(spark, name):
     assert set(QUERIES) == set(COLUMNS)
 
 
+def test_mixing_query_matches_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    sql = con.execute(entry.oracle_sql()["op8_mixing"])
+    order = [d[0] for d in sql.description]
+    assert sorted(sql.fetchall()) == sorted(map(tuple, QUERIES["op8_mixing"](spark, SF).select(order).collect()))
+
+
 def held_against_rules(texts, trusted):
     raw, target = Counter(), Counter()
     for i, t in texts.items():
