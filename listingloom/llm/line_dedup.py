@@ -4,6 +4,9 @@ A line is cut into ``EDITS + 1`` segments. Of two lines at most ``EDITS`` edits
 segment of the shorter is found unchanged in the longer, at a place that the lengths bound.
 Segments are indexed by length and number, each line probes the lengths that may be linked to
 it, and what meets is verified by a banded bit-parallel edit distance.
+
+Distance by length, where short lines take part: lines of 1 to ``MIN_CHARS - 1`` code points that
+have a word are alike only if they are equal (distance 0), longer ones up to ``EDITS`` edits.
 """
 
 from __future__ import annotations
@@ -12,16 +15,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingloom.llm.components import components
-from listingloom.llm.tables import maybe_in, stored, text_or_empty
+from listingloom.llm.tables import SPACE, maybe_in, stored, text_or_empty
 
 #: Edits (insertions, deletions, substitutions of code points) between linked lines.
 EDITS = 2
-#: Shorter lines are left alone: two edits would make any of them alike.
+#: Shorter lines are never linked by edits, as two would make any of them alike.
 MIN_CHARS = 20
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """A row per line long enough to compare: its document, number, text, 128-bit identity.
+def lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """A row per line to compare: its document, number, text, 128-bit identity.
+
+    These are the lines of ``MIN_CHARS`` code points or more; with ``short`` also every shorter
+    one that has a word.
 
     A document is known by its id and a hash of its text, as ids may repeat. The arrays that are
     opened here are never empty; the outer form spares a check for that, for which Spark would
@@ -31,7 +37,10 @@ def lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         "doc_id", F.xxhash64(text).alias("th"), F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line")
     ).withColumn("len", F.length("line"))
-    return rows.where(F.col("len") >= MIN_CHARS).withColumns(
+    compared = F.col("len") >= MIN_CHARS
+    if short:
+        compared = compared | F.col("line").rlike(rf"[^{SPACE}]")
+    return rows.where(compared).withColumns(
         {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")}
     )
 
@@ -172,17 +181,18 @@ def line_links(rows: DataFrame) -> DataFrame:
     return stored(both.where(within(F.col("a"), F.col("b"))).select("u", "v"), "links")
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
+def line_classes(docs: DataFrame, short: bool = False) -> DataFrame:
     """``doc_id, th, line_no, class_doc, class_line, n_links, removed`` of every compared line.
 
     Lines that are equal or linked, directly or over others, make up a class. It is named after
     its first line, by document id (null last) and number; all others are to be removed.
     ``n_links`` counts the different texts within ``EDITS`` edits. Lines below ``MIN_CHARS``
-    code points are not listed: they stay. Null or empty texts have no line to compare; a row
+    code points are in a class with their equals only, and without ``short`` not listed: they
+    stay. Null or empty texts have no line to compare; a row
     repeated with its id is the same document, of which both rows keep what one would.
     """
-    rows = lines(docs)
-    edges = line_links(rows)
+    rows = lines(docs, short)
+    edges = line_links(rows.where(F.col("len") >= MIN_CHARS))
     roots = components(edges)
     degree = edges.select("u").union(edges.select("v")).groupBy(F.col("u").alias("node")).agg(
         F.count("*").alias("n_links")
@@ -201,13 +211,13 @@ def line_classes(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``, and ``n_chars`` counted anew if there.
 
-    A document all of whose lines go stays, with an empty text. Null texts stay null. All
+    ``short`` is that of ``line_classes``. A document all of whose lines go stays, with an empty text. Null texts stay null. All
     other columns are passed on.
     """
-    gone = line_classes(docs).where("removed").groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(
+    gone = line_classes(docs, short).where("removed").groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(
         F.collect_set("line_no").alias("_gone")
     )
     gone = stored(gone, "gone")

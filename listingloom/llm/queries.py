@@ -68,7 +68,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("th")
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), short=True).drop("th")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
