@@ -2,9 +2,9 @@
 
 A page is read as a sequence of text lines, one per block. Its lines are aligned with those of
 the page next to it by path on its host, by longest common subsequence, and lines that both
-share are deleted as the host's template. What the markup itself tells apart goes first: lines
-in menus, headers, footers, asides, forms, adverts and comments go whether shared or not, and
-lines that an article element claims stay, as two articles may share a passage.
+share are deleted as the host's template. Markup is evidence on top of that: lines in menus,
+headers, footers, asides, forms, adverts and comments go whether shared or not, and lines of an
+article element go only if the pages on both sides share them, as two articles may share a passage.
 """
 
 from __future__ import annotations
@@ -193,23 +193,28 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
-def main_lines(lines: list[tuple[str, int]], partners: list[list[int]]) -> list[str]:
-    """Lines that stay, given the line hashes of the pages to compare with, nearest first.
+def kept_lines(lines: list[tuple[str, int]], found: list[set[int]]) -> list[str]:
+    """Lines that stay, given the lines shared with each page to compare with, nearest first.
 
-    A page with an article element has its text there. In others, lines shared with the nearest
-    page go. If that leaves nothing, the page is a copy of it,
-    and the next nearest is tried; without another nothing is taken to be shared.
+    Lines shared with the nearest page go, those of an article element only if the further page
+    shares them too. If that leaves nothing, the next nearest page is tried; without another
+    nothing is taken to be shared.
     """
-    if article := [t for t, zone in lines if zone == ARTICLE]:
-        return article
-    hashes = line_hashes(lines)
-    for shared in [*(common(hashes, p) for p in partners), set()]:
-        kept = [t for i, (t, zone) in enumerate(lines) if zone == OPEN and i not in shared]
+    everywhere = set.intersection(*found) if len(found) > 1 else set()
+    for shared in [*found, set()]:
+        gone = {OPEN: shared, ARTICLE: shared & everywhere}
+        kept = [t for i, (t, zone) in enumerate(lines) if zone != TEMPLATE and i not in gone[zone]]
         if kept:
             return kept
     return []
 
 
+def main_lines(lines: list[tuple[str, int]], partners: list[list[int]]) -> list[str]:
+    """``kept_lines``, given the line hashes of the pages to compare with, nearest first."""
+    hashes = line_hashes(lines)
+    return kept_lines(lines, [common(hashes, p) for p in partners])
+
+
 def neighbours(pages: DataFrame) -> DataFrame:
     """``page_id, url`` and the host, path and line hashes of the pages before and after it.
 
