@@ -16,7 +16,7 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from listingloom.llm.tables import stored
@@ -216,10 +216,13 @@ def main_lines(lines: list[tuple[str, int]], partners: list[list[int]]) -> list[
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """``page_id, url`` and the host, path and line hashes of the pages before and after it.
+    """``page_id, url, content, shared``: a row per id, URL and hash of the HTML.
 
-    Pages are put in order of host and path by ranges; each range finds its own neighbours, and
-    the ends of ranges, a row each, find theirs among themselves.
+    ``shared`` has the numbers of the lines that are shared with each page beside it on its host,
+    nearest first; the first and last page of a host have the next two, or before two. Pages of a
+    host with equal lines are one row, at the least of their paths, so the page beside it always
+    differs. Rows are put in order of host and path by ranges; each range finds its own
+    neighbours, and the ends of ranges, two rows each, find theirs among themselves.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,51 +232,76 @@ def neighbours(pages: DataFrame) -> DataFrame:
                 {
                     "page_id": batch["page_id"],
                     "url": batch["url"],
+                    "content": batch["content"],
                     "host": [h for h, _ in parts],
                     "path": [p for _, p in parts],
                     "hashes": [line_hashes(lines_of(x)) for x in batch["html"]],
                 }
             )
 
-    schema = "page_id string, url string, host string, path string, hashes array<long>"
-    read = pages.select(F.col("page_id").cast("string"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows = read.mapInPandas(run, schema).groupBy("page_id", "url", "host", "path").agg(F.min("hashes").alias("hashes"))
-    order = ["host", "path", "page_id", "url"]
-    rows = stored(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "lines")
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for host, path, hashes, before, after in zip(*(batch[c] for c in ("host", "path", "hashes", "before", "after"))):
+                sides = [[x for x in side if x is not None and x["host"] == host] for side in (after, before)]
+                beside = [side[0] for side in sides if side] if all(sides) else [*sides[0], *sides[1]]
+                beside.sort(key=lambda x: -_alike(path, x["path"]))
+                mine = list(map(int, hashes))
+                out.append([sorted(common(mine, list(map(int, x["hashes"])))) for x in beside])
+            yield pd.Series(out, dtype="object")
+
+    schema = "page_id string, url string, content long, host string, path string, hashes array<long>"
+    html = F.col("html").cast("string")
+    read = pages.select(F.col("page_id").cast("string"), F.col("url").cast("string"), html.alias("html"), F.xxhash64(html).alias("content"))
+    rows = stored(read.mapInPandas(run, schema).withColumn("digest", F.xxhash64("hashes")), "lines")
+    order = ["host", "path", "digest"]
+    texts = rows.groupBy("host", "digest").agg(F.min("path").alias("path"), F.min("hashes").alias("hashes"))
+    texts = stored(texts.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "texts")
     page = F.struct("host", "path", "hashes")
+
+    def beside(along: WindowSpec) -> tuple[Column, Column]:
+        return tuple(F.array(f(page, 1).over(along), f(page, 2).over(along)) for f in (F.lag, F.lead))
+
     along = Window.partitionBy("range").orderBy(*order)
-    rows = rows.select("*", F.lag(page).over(along).alias("before"), F.lead(page).over(along).alias("after"))
-    place = F.struct(*order)
-    ends = rows.groupBy("range").agg(F.min_by(page, place).alias("top"), F.max_by(page, place).alias("end"))
-    ranges = Window.orderBy("range")
-    ends = ends.select("range", F.lag("end").over(ranges).alias("left"), F.lead("top").over(ranges).alias("right"))
-    return rows.join(ends, "range").select(
-        "page_id", "url", F.coalesce("before", "left").alias("before"), F.coalesce("after", "right").alias("after")
-    )
+    before, after = beside(along)
+    at, n = F.row_number().over(along), F.count("*").over(Window.partitionBy("range"))
+    texts = texts.select("*", before.alias("before"), after.alias("after"), (at <= 2).alias("top"), (at > n - 2).alias("end"))
+    # Of each range the first two and last two rows, in one order: what precedes the first and follows the last.
+    left, right = beside(Window.orderBy(*order))
+    ends = texts.where("top or end").select("host", "digest", left.alias("left"), right.alias("right"))
+    texts = texts.join(ends, ["host", "digest"], "left")
+    beside_it = F.struct(
+        "host", "path", "hashes",
+        F.when(F.col("top"), F.col("left")).otherwise(F.col("before")).alias("before"),
+        F.when(F.col("end"), F.col("right")).otherwise(F.col("after")).alias("after"),
+    )
+    shared = F.pandas_udf(align, "array<array<int>>")(beside_it).alias("shared")
+    texts = texts.select("host", "digest", shared)
+    keys = rows.select("page_id", "url", "content", "host", "digest").distinct()
+    return keys.join(texts, ["host", "digest"]).select("page_id", "url", "content", "shared")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page.
 
-    Null and empty pages, and pages without an article's line, have an empty text. A page alone
-    on its host has nothing to be compared with. Repeated rows are read each; where an id and
-    URL repeat with another page, one of them stands for both as a neighbour. Columns other
-    than ``page_id``, ``url`` and ``html`` are not read.
+    Null and empty pages, and pages without a line outside the template, have an empty text. A
+    page alone on its host has nothing to be compared with. Repeated rows are read each. Columns
+    other than ``page_id``, ``url`` and ``html`` are not read.
     """
-    near = neighbours(pages).withColumnsRenamed({"page_id": "_page", "url": "_url"})
+    near = neighbours(pages).withColumnsRenamed({"page_id": "_page", "url": "_url", "content": "_content"})
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     both = rows.join(
-        near, F.col("page_id").cast("string").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url"))
-    ).select("page_id", "url", F.struct("url", "html", "before", "after").alias("_page"))
+        near,
+        F.col("page_id").cast("string").eqNullSafe(F.col("_page"))
+        & F.col("url").eqNullSafe(F.col("_url"))
+        & (F.xxhash64("html") == F.col("_content")),
+    ).select("page_id", "url", F.struct("html", "shared").alias("_page"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
-            for url, html, before, after in zip(batch["url"], batch["html"], batch["before"], batch["after"]):
-                host, path = url_parts(url)
-                beside = [x for x in (after, before) if x is not None and x["host"] == host]
-                beside.sort(key=lambda x: -_alike(path, x["path"]))
-                out.append("\n".join(main_lines(lines_of(html), [list(map(int, x["hashes"])) for x in beside])))
+            for html, shared in zip(batch["html"], batch["shared"]):
+                out.append("\n".join(kept_lines(lines_of(html), [set(map(int, x)) for x in shared])))
             yield pd.Series(out, dtype="object")
 
     text = F.pandas_udf(run, "string")(F.col("_page")).alias("text")

@@ -12,6 +12,12 @@ def test_differencing_decides_beside_and_inside_articles(spark):
     b = [(10 + i, f"http://b.example/{i}", page(f"<div>Welcome</div><div>body {i}</div><article>teaser {i}</article>", False)) for i in range(4)]
     two = [(20 + i, f"http://c.example/{i}", page(f"<article><p>quoted</p><p>own {i}</p></article>", False)) for i in range(2)]
     got = texts(spark, a + b + two)
-    assert all(got[i] == f"own {i}" for i in range(1, 3))  # further pages share the line
+    assert all(got[i] == f"own {i}" for i in range(4))  # further pages share the line
     assert all(got[10 + i] == f"body {i}\nteaser {i}" for i in range(4))
     assert all(got[20 + i] == f"quoted\nown {i}" for i in range(2))  # a passage of two articles
+
+
+def test_copies_beside_each_other_meet_a_page_that_differs(spark):
+    copies = [(i, f"http://a.example/shop/{i}", page("<p>shop bar</p><p>s1</p>", False)) for i in range(5)]
+    other = [(9, "http://a.example/shop/9", page("<p>shop bar</p><p>s9</p>", False))]
+    assert texts(spark, copies + other) == {**dict.fromkeys(range(5), "s1"), 9: "s9"}
