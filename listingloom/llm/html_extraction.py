@@ -44,6 +44,7 @@ _CHROME_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split()
 )
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+IN_HEAD = frozenset("title meta link script style base noscript template".split())
 #: Zones of a line.
 OPEN, TEMPLATE, ARTICLE = 0, 1, 2
 
@@ -86,6 +87,8 @@ class _Page(HTMLParser):
         for name, value in attrs:
             if value and name in ("href", "src"):
                 self.links.append((f"{tag}/@{name}", value))
+        if self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self.open.pop()
         if tag in BLOCKS:
             self.flush()
             self._close_implied(tag)
