@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import listing
+from listings_data import listing
 from listingloom.functions import cards, text
 from listingloom.plans import runs
 from listingloom.sources.params import run_params

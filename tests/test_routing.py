@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import listing
+from listings_data import listing
 from listingloom.operators import ranking, routing, select, stats, subscribing
 from listingloom.schema import SUBSCRIPTION
 from listingloom.sources import subscriptions as log

@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import listing
+from listings_data import listing
 from listingloom.plans import runs
 from listingloom.schema import SUBSCRIPTION
 from listingloom.session import scratch

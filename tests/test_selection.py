@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import listing
+from listings_data import listing
 from listingloom.functions import season
 from listingloom.operators import diff, select, stats
 
