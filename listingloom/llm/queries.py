@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listingloom.llm import (
+    alignment,
     fingerprints,
     html_extraction,
     line_dedup,
     mixing,
+    periodic_runs,
     quality_rules,
     sentencepiece_bpe,
     simhash,
     suffix_dedup,
+    superminhash,
     toxicity,
     warc,
 )
@@ -39,6 +44,14 @@ def piece_model() -> bytes:
         return file.read()
 
 
+def byte_model() -> str:
+    """The byte-level vocabulary as the JSON of its tokenizer, read on the driver and sent with the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digests(table(spark, sf_dir, "documents"), piece_model(), ["doc_id"])
 
@@ -85,9 +98,46 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), byte_model(), piece_model())
+
+
+def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def with_planted_period(words: list[bytes], doc_id: object) -> list[bytes]:
+    """In a tenth of the documents, by a hash of the id: words from some place on repeat with a period.
+
+    Documents without an id stay as they are.
+    """
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.periodic_runs(docs, ["doc_id"], ("doc_id", with_planted_period))
+    best = periodic_runs.strongest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.as_lines(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op4_warc, op5_fingerprints, op6_html_extraction, op7_line_dedup, op8_mixing, op9_quality_rules, op10_simhash,
+        op11_alignment, op12_superminhash, op13_periodic_runs,
     )
 }
\ No newline at end of file

@@ -34,6 +34,11 @@ COLUMNS = {
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     },
     "op10_simhash": {"doc_id", "fingerprint", "component_id"},
+    "op11_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+    "op12_superminhash": {"doc_id", "n_shingles", "component_id", "kept"},
+    "op13_periodic_runs": {
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"
+    },
 }
 
 
