@@ -230,8 +230,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
     def sets(wanted: DataFrame) -> DataFrame:
-        some = maybe_in(rows.select(F.col("row").alias("node"), "shingles"), "node", wanted)
-        return some.join(wanted, "node", "left_semi")
+        hashed = F.xxhash64("node").alias("_hash")  # numbers of rows are alike in their low bits
+        some = rows.select(F.col("row").alias("node"), "shingles").select("*", hashed)
+        return maybe_in(some, "_hash", wanted.select(hashed)).drop("_hash").join(wanted, "node", "left_semi")
 
     groups = similar_groups(nodes.select("node", "n", "bands"), sets, percent)
     own = nodes.select("s1", "s2", "first", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
