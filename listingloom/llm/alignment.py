@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import re
 from collections.abc import Callable, Iterator
 from operator import itemgetter
@@ -29,6 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import tokenizers
 import zstandard
 from pyspark import TaskContext
@@ -49,7 +51,7 @@ RADIX = 32
 FAN = 128
 # A space stands apart from what precedes it if that is none of these. What any
 # tokenizer may take for white space; to name too much only makes longer pieces.
-_WHITE = r"\s\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿"
+_WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
 _PIECE = re.compile(rf" (?:[^ ]+|(?<=[{_WHITE}]) )*")
 
 
@@ -63,60 +65,107 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: What the byte-level pre-tokenizer takes apart (a fixed value of that kind of vocabulary).
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_level_encoder(spec: dict) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of texts by a byte-level tokenizer's JSON; special tokens in texts are plain text.
+
+    Where ids are in order of merges, which is what ranks say, the faster library for ranks is used.
+    """
+    model, table = spec["model"], _byte_of_char()
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    pre = spec["pre_tokenizer"] or {}
+    plain = not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre["add_prefix_space"]
+    n = len(table)
+    ranked = all(model["vocab"].get(a + b) == n + k for k, (a, b) in enumerate(merges)) and len(model["vocab"]) == n + len(merges)
+    if plain and ranked:
+        ranks = {bytes(table[c] for c in piece): i for piece, i in model["vocab"].items()}
+        coder = tiktoken.Encoding("pieces", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [coder.encode_ordinary(t) for t in texts]
+    coder = tokenizers.Tokenizer.from_str(json.dumps(spec))
+    coder.encode_special_tokens = True
+    return lambda texts: [e.ids for e in coder.encode_batch(texts, add_special_tokens=False)]
+
+
+class _Side:
+    """Bytes, their number, and the text of each id of one vocabulary."""
+
+    def __init__(self, bytes_of: list[bytes], last: str):
+        self.bytes_of = bytes_of
+        self.width = np.array([len(x) for x in bytes_of], np.int64)
+        # Every id followed by what parts it from the next of its group, or from the other side or group.
+        self.shown = np.array([f"{i}{mark}" for i in range(len(bytes_of)) for mark in (",", last)], object)
+
+
 class Pair:
     """Two tokenizers and the bytes of their tokens."""
 
     def __init__(self, byte_level: str, merge_type: bytes):
-        self.a = tokenizers.Tokenizer.from_str(byte_level)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=merge_type)
-        table = _byte_of_char()
-        self.a_bytes = {
-            i: bytes(table[c] for c in piece) if all(c in table for c in piece) else piece.encode()
-            for piece, i in self.a.get_vocab(with_added_tokens=True).items()
-        }
-        spec = model_pb2.ModelProto()
-        spec.ParseFromString(merge_type)
-        if any(SPACE in p.piece.lstrip(SPACE) for p in spec.pieces if p.type == 1):
+        spec, table = json.loads(byte_level), _byte_of_char()
+        vocabulary = spec["model"]["vocab"]
+        self.encode_a = _byte_level_encoder(spec)
+        a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for piece, i in vocabulary.items():
+            a_bytes[i] = bytes(table[c] for c in piece)
+        self.a = _Side(a_bytes, "|")
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=merge_type)
+        model = model_pb2.ModelProto()
+        model.ParseFromString(merge_type)
+        if any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces if p.type == 1):
             raise ValueError("pieces across words: texts can't be cut")
-        self.b_bytes = [
-            bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(SPACE, " ").encode() for p in spec.pieces
-        ]
-        self.b_space = self.b.piece_to_id(SPACE)
+        self.b = _Side(
+            [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(SPACE, " ").encode() for p in model.pieces], ";"
+        )
+        self.b_space = self.library.piece_to_id(SPACE)
 
-    def tokens(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def tokens(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both for each piece, which begins with a space; what the second adds is that space."""
-        ours = self.a.encode_batch(pieces, add_special_tokens=False)
-        theirs = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        for piece, x, y in zip(pieces, ours, theirs):
-            yield x.ids, y if len(piece) > 1 else [self.b_space]
-
-    def aligned(self, piece: str, a: list[int], b: list[int]) -> tuple[str, int, list[int]] | None:
-        """Groups as text, their number, and the linked pairs ``b << 32 | a`` with repeats.
-
-        None if the tokens of either don't have the bytes of the piece.
-        """
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        data = piece.encode("utf-8", "surrogatepass")
-        if b"".join(a_bytes) != data or b"".join(b_bytes) != data:
-            return None
-        groups, links = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = len(a_bytes[0]), len(b_bytes[0])
-        while True:
-            links.append(b[j] << 32 | a[i])
-            here_a, here_b = end_a, end_b
-            if here_a <= here_b:
-                i += 1
-                end_a += len(a_bytes[i]) if i < len(a) else 0
-            if here_b <= here_a:
-                j += 1
-                end_b += len(b_bytes[j]) if j < len(b) else 0
-            if here_a == here_b:
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                first_a, first_b = i, j
-                if i == len(a):
-                    return ";".join(groups), len(groups), links
+        theirs = self.library.encode([p[1:] for p in pieces], num_threads=1)
+        return self.encode_a(pieces), [y if len(p) > 1 else [self.b_space] for p, y in zip(pieces, theirs)]
+
+
+def align(pair: Pair, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of each piece: its groups as text; tokens of both, groups and links; links ``b << 32 | a``.
+
+    The counts are -1, 0, 0, 0 where the tokens of either don't have the bytes of the piece. The
+    pieces are laid side by side and parted at all places where a token of either ends: between two
+    such places stands one link, and a place where both end ends a group.
+    """
+    ids = pair.tokens(pieces)
+    data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+    sides = (pair.a, pair.b)
+    sound = np.ones(len(pieces), bool)
+    for side, lists in zip(sides, ids):
+        of = side.bytes_of
+        sound &= np.array([b"".join([of[i] for i in x]) == d for x, d in zip(lists, data)], bool)
+    which = np.flatnonzero(sound)
+    n = [np.array([len(lists[i]) for i in which], np.int64) for lists in ids]
+    flat = [np.fromiter((t for i in which for t in lists[i]), np.int64, int(k.sum())) for lists, k in zip(ids, n)]
+    ends = [np.cumsum(side.width[x]) for side, x in zip(sides, flat)]
+    places = np.union1d(*ends)
+    at = [np.searchsorted(e, places) for e in ends]
+    links = flat[1][at[1]] << 32 | flat[0][at[0]]
+    owner = np.repeat(np.arange(len(which)), n[0])[at[0]]
+    closed = (ends[0][at[0]] == places) & (ends[1][at[1]] == places)
+    groups = places[closed]
+    group = [np.searchsorted(groups, e) for e in ends]
+    last = [(e == groups[g]).astype(np.int64) for e, g in zip(ends, group)]
+    many = [np.cumsum(np.bincount(g, minlength=len(groups))) for g in group]
+    out = np.empty(len(flat[0]) + len(flat[1]), object)
+    before = np.r_[0, many[1]][group[0]]  # tokens of the other side that come first
+    out[np.arange(len(flat[0])) + before] = sides[0].shown[2 * flat[0] + last[0]]
+    out[np.arange(len(flat[1])) + many[0][group[1]]] = sides[1].shown[2 * flat[1] + last[1]]
+    parts, stops = out.tolist(), np.cumsum(n[0] + n[1]).tolist()
+    shown = [""] * len(pieces)
+    for i, start, stop in zip(which.tolist(), [0, *stops], stops):
+        shown[i] = "".join(parts[start:stop])[:-1]
+    counts = np.zeros((len(pieces), 4), np.int64)
+    counts[:, 0] = -1
+    own = np.bincount(owner, minlength=len(which)), np.bincount(owner[closed], minlength=len(which))
+    counts[which] = np.stack([n[0], n[1], own[1], own[0]], axis=1)
+    return shown, counts, links
 
 
 class _Pieces:
@@ -136,15 +185,11 @@ class _Pieces:
         new = sorted(p for p in pieces if p not in self.number)
         if not new:
             return
-        counts, links = [], []
-        for piece, (a, b) in zip(new, self.pair.tokens(new)):
-            shown, n, own = self.pair.aligned(piece, a, b) or ("", -1, [])
-            self.number[piece] = len(self.shown)
-            self.shown.append(shown)
-            counts.append((len(a), len(b), n, len(own)) if n >= 0 else (-1, 0, 0, 0))
-            links += own
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)])
-        self.links = np.concatenate([self.links, np.array(links, np.int64)])
+        shown, counts, links = align(self.pair, new)
+        self.number.update(zip(new, range(len(self.shown), len(self.shown) + len(new))))
+        self.shown += shown
+        self.counts = np.concatenate([self.counts, counts])
+        self.links = np.concatenate([self.links, links])
 
 
 def _packed(*arrays: np.ndarray) -> bytes:

@@ -117,20 +117,18 @@ def test_odd_texts_in_many_runs(spark, monkeypatch, small):
     assert result(a.aligned(df, byte_model(), piece_model())) == sorted(map(str, brute(rows)))
 
 
-def test_runs_are_cut_by_links_and_merged_in_levels(spark, words, tmp_path):
-    texts = [(i, words(60, i % 50)) for i in range(300)]
-    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+def test_runs_hold_every_document_and_merge_by_a_heap(spark, words):
     pair = a.Pair(byte_model(), piece_model())
     blocks, expected = [], Counter()
-    for _, t in texts:
-        piece = f" {t.split()[0]}"
-        (x, y), = pair.tokens([piece])
-        shown, n, links = pair.aligned(piece, x, y)
-        own = Counter(links)
+    for i in range(40):
+        _, counts, links = a.align(pair, [f" {w}" for w in words(9, i).split()] + [" a\u2581"])
+        assert counts[-1].tolist() == [-1, 0, 0, 0] and counts[:-1, 3].sum() == len(links)
+        own = Counter(links.tolist())
         expected.update(own)
         keys = sorted(own)
         blocks.append(a._packed(a._steps(np.array(keys)), np.array([own[k] for k in keys])))
-    assert dict(a._merged(blocks)) == expected and list(a._merged(blocks)) == sorted(expected.items())
+    assert list(a._merged(blocks)) == sorted(expected.items())
+    df = spark.createDataFrame([(i, words(60, i % 50)) for i in range(300)], "doc_id long, text string").repartition(3)
     rows = a.runs_of(df, byte_model(), piece_model()).collect()
     assert sorted(d.doc_id for r in rows for d in r.docs) == list(range(300))
 
