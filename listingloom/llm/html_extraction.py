@@ -4,13 +4,13 @@ A page is read as a sequence of text lines, one per block. Its lines are aligned
 the page next to it by path on its host, by longest common subsequence, and lines that both
 share are deleted as the host's template. Markup is evidence on top of that: lines in menus,
 headers, footers, asides, forms, adverts and comments go whether shared or not, and lines of an
-article element go only if the pages on both sides share them, as two articles may share a passage.
+article element stay, as articles of a host may share a passage.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from listingloom.llm.tables import stored
+from listingloom.llm.tables import by_slices, stored
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption "
@@ -50,16 +50,23 @@ OPEN, TEMPLATE, ARTICLE = 0, 1, 2
 
 
 class _Page(HTMLParser):
-    """Reads the lines of a page, and what its elements link to."""
+    """Reads the lines of a page, and what its elements link to; without ``zones`` only what is shown."""
 
-    def __init__(self):
+    def __init__(self, zones: bool = True):
         super().__init__(convert_charrefs=True)
+        self.zones = zones
         self.open: list[tuple[str, int | None]] = [("", OPEN)]
         self.lines: list[tuple[str, int]] = []
         self.parts: list[str] = []
         self.links: list[tuple[str, str]] = []
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Lines and columns of the source aren't counted: nothing asks for them."""
+        return j
+
     def flush(self) -> None:
+        if not self.parts:
+            return
         text = " ".join("".join(self.parts).split())
         if text:
             self.lines.append((text, self.open[-1][1]))
@@ -72,6 +79,8 @@ class _Page(HTMLParser):
             return None
         if "hidden" in attrs or _HIDDEN.search(attrs.get("style") or ""):
             return None
+        if not self.zones:
+            return OPEN
         if now == TEMPLATE or tag in CHROME or (attrs.get("role") or "").lower() in _CHROME_ROLES:
             return TEMPLATE
         if tag == "header" and now != ARTICLE:
@@ -133,9 +142,12 @@ class _Page(HTMLParser):
             self.parts.append(data)
 
 
-def read_page(html: str | None) -> tuple[list[tuple[str, int]], list[tuple[str, str]]]:
-    """Lines of a page with the zone of each, and its links with their attribute, in order."""
-    reader = _Page()
+def read_page(html: str | None, zones: bool = True) -> tuple[list[tuple[str, int]], list[tuple[str, str]]]:
+    """Lines of a page with the zone of each, and its links with their attribute, in order.
+
+    Without ``zones`` all that is shown is open; a change of zone then ends no line.
+    """
+    reader = _Page(zones)
     reader.feed(html or "")
     reader.close()
     reader.flush()
@@ -199,14 +211,11 @@ def _alike(a: str, b: str) -> int:
 def kept_lines(lines: list[tuple[str, int]], found: list[set[int]]) -> list[str]:
     """Lines that stay, given the lines shared with each page to compare with, nearest first.
 
-    Lines shared with the nearest page go, those of an article element only if the further page
-    shares them too. If that leaves nothing, the next nearest page is tried; without another
-    nothing is taken to be shared.
+    Lines outside articles that the nearest page shares go. If that leaves nothing, the next nearest
+    page is tried; without another nothing is taken to be shared. Lines of an article stay.
     """
-    everywhere = set.intersection(*found) if len(found) > 1 else set()
     for shared in [*found, set()]:
-        gone = {OPEN: shared, ARTICLE: shared & everywhere}
-        kept = [t for i, (t, zone) in enumerate(lines) if zone != TEMPLATE and i not in gone[zone]]
+        kept = [t for i, (t, zone) in enumerate(lines) if zone == ARTICLE or (zone == OPEN and i not in shared)]
         if kept:
             return kept
     return []
@@ -218,8 +227,34 @@ def main_lines(lines: list[tuple[str, int]], partners: list[list[int]]) -> list[
     return kept_lines(lines, [common(hashes, p) for p in partners])
 
 
-def neighbours(pages: DataFrame) -> DataFrame:
-    """``page_id, url, content, shared``: a row per id, URL and hash of the HTML.
+LINES = "array<struct<text:string,place:int,article:boolean>>"
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """``page_id, url``, host and path, ``hashes`` of all lines, and the ``lines`` that are no template.
+
+    Each of those has its ``place`` among all lines of the page. ``digest`` is that of the hashes.
+    """
+
+    def start() -> Callable[..., list]:
+        def work(htmls: list[str | None], urls: list[str | None]) -> list:
+            parts = [url_parts(u) for u in urls]
+            read = [lines_of(x) for x in htmls]
+            kept = [[(t, i, z == ARTICLE) for i, (t, z) in enumerate(lines) if z != TEMPLATE] for lines in read]
+            named = [[dict(zip(("text", "place", "article"), x)) for x in lines] for lines in kept]
+            return [[h for h, _ in parts], [p for _, p in parts], list(map(line_hashes, read)), named]
+
+        return work
+
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    found = by_slices(
+        rows, ["page_id", "url"], f"host string, path string, hashes array<bigint>, lines {LINES}", start, ["html", "url"]
+    )
+    return found.withColumn("digest", F.xxhash64("hashes"))
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """``host, digest, shared`` of the pages of ``rows`` (host, path, hashes, digest) that have a host.
 
     ``shared`` has the numbers of the lines that are shared with each page beside it on its host,
     nearest first; the first and last page of a host have the next two, or before two. Pages of a
@@ -228,20 +263,6 @@ def neighbours(pages: DataFrame) -> DataFrame:
     neighbours, and the ends of ranges, two rows each, find theirs among themselves.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [url_parts(u) for u in batch["url"]]
-            yield pd.DataFrame(
-                {
-                    "page_id": batch["page_id"],
-                    "url": batch["url"],
-                    "content": batch["content"],
-                    "host": [h for h, _ in parts],
-                    "path": [p for _, p in parts],
-                    "hashes": [line_hashes(lines_of(x)) for x in batch["html"]],
-                }
-            )
-
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
@@ -253,12 +274,8 @@ def neighbours(pages: DataFrame) -> DataFrame:
                 out.append([sorted(common(mine, list(map(int, x["hashes"])))) for x in beside])
             yield pd.Series(out, dtype="object")
 
-    schema = "page_id string, url string, content long, host string, path string, hashes array<long>"
-    html = F.col("html").cast("string")
-    read = pages.select(F.col("page_id").cast("string"), F.col("url").cast("string"), html.alias("html"), F.xxhash64(html).alias("content"))
-    rows = stored(read.mapInPandas(run, schema).withColumn("digest", F.xxhash64("hashes")), "lines")
     order = ["host", "path", "digest"]
-    texts = rows.groupBy("host", "digest").agg(F.min("path").alias("path"), F.min("hashes").alias("hashes"))
+    texts = rows.where("host <> ''").groupBy("host", "digest").agg(F.min("path").alias("path"), F.min("hashes").alias("hashes"))
     texts = stored(texts.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "texts")
     page = F.struct("host", "path", "hashes")
 
@@ -279,33 +296,26 @@ def neighbours(pages: DataFrame) -> DataFrame:
         F.when(F.col("end"), F.col("right")).otherwise(F.col("after")).alias("after"),
     )
     shared = F.pandas_udf(align, "array<array<int>>")(beside_it).alias("shared")
-    texts = texts.select("host", "digest", shared)
-    keys = rows.select("page_id", "url", "content", "host", "digest").distinct()
-    return keys.join(texts, ["host", "digest"]).select("page_id", "url", "content", "shared")
+    return texts.select("host", "digest", shared)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page.
 
     Null and empty pages, and pages without a line outside the template, have an empty text. A
-    page alone on its host has nothing to be compared with. Repeated rows are read each. Columns
-    other than ``page_id``, ``url`` and ``html`` are not read.
+    page alone on its host has nothing to be compared with, nor has one without a host: a null,
+    relative or unreadable URL. Repeated rows are read each. Columns other than ``page_id``, ``url``
+    and ``html`` are not read. Each page is parsed once, and its HTML is never moved.
     """
-    near = neighbours(pages).withColumnsRenamed({"page_id": "_page", "url": "_url", "content": "_content"})
-    rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    both = rows.join(
-        near,
-        F.col("page_id").cast("string").eqNullSafe(F.col("_page"))
-        & F.col("url").eqNullSafe(F.col("_url"))
-        & (F.xxhash64("html") == F.col("_content")),
-    ).select("page_id", "url", F.struct("html", "shared").alias("_page"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = []
-            for html, shared in zip(batch["html"], batch["shared"]):
-                out.append("\n".join(kept_lines(lines_of(html), [set(map(int, x)) for x in shared])))
-            yield pd.Series(out, dtype="object")
-
-    text = F.pandas_udf(run, "string")(F.col("_page")).alias("text")
-    return both.select("page_id", "url", text).withColumn("n_chars", F.length("text").cast("long"))
+    rows = stored(page_lines(pages), "lines", "zstd")
+    near = neighbours(rows.select("host", "path", "hashes", "digest"))
+    both = rows.select("page_id", "url", "host", "digest", "lines").join(near, ["host", "digest"], "left")
+
+    def left(shared: Column) -> Column:
+        gone = lambda x: F.coalesce(F.array_contains(shared, x["place"]), F.lit(False))
+        return F.filter("lines", lambda x: x["article"] | ~gone(x))
+
+    nearest, next_ = left(F.get("shared", F.lit(0))), left(F.get("shared", F.lit(1)))
+    kept = F.when(F.size(nearest) > 0, nearest).when(F.size(next_) > 0, next_).otherwise(F.col("lines"))
+    text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
+    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

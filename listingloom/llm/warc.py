@@ -15,10 +15,13 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,33 +49,71 @@ def _field(value: object) -> str:
     return _BREAKS.sub(" ", str(value)).strip()
 
 
+# The named fields of the format. Names are told apart without regard to case, and
+# stand in a record's map as they are spelled here; of these one may repeat.
+FIELDS = (
+    "WARC-Type WARC-Record-ID WARC-Date Content-Length Content-Type WARC-Concurrent-To WARC-Block-Digest "
+    "WARC-Payload-Digest WARC-IP-Address WARC-Refers-To WARC-Refers-To-Target-URI WARC-Refers-To-Date "
+    "WARC-Source-Payload-Digest WARC-Target-URI WARC-Truncated WARC-Warcinfo-ID WARC-Filename WARC-Profile "
+    "WARC-Identified-Payload-Type WARC-Segment-Number WARC-Segment-Origin-ID WARC-Segment-Total-Length"
+).split()
+_FIELDS = {name.lower(): name for name in FIELDS}
+REPEATS = "WARC-Concurrent-To"
+_BETWEEN = ", "
+
+
 def written(headers: dict[str, str], block: bytes) -> bytes:
     """A record as it stands in a file."""
-    fields = "".join(f"{k}: {v}\r\n" for k, v in headers.items() if k != "Content-Length")
+    fields = "".join(
+        f"{k}: {one}\r\n"
+        for k, v in headers.items()
+        if k != "Content-Length"
+        for one in (v.split(_BETWEEN) if k == REPEATS else [v])
+    )
     return VERSION + f"{fields}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of a file's bytes, gzipped (by record or whole) or plain."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
-    while line := stream.readline():
+def records_of(lines: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of a file that is given line by line, with the line ends; one is held at a time.
+
+    Names of fields have the case of ``FIELDS``, others stay as written. A repeated field keeps all its
+    values, parted by a comma and a space. A record cut short, one without a length, or anything
+    else where a record should begin, raises. No lines give no records.
+    """
+    rest = iter(lines)
+    while (line := next(rest, None)) is not None:
         if not line.strip():
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {line[:40]!r}")
         headers: dict[str, str] = {}
         name = ""
-        while (line := stream.readline()).strip():
+        while (line := next(rest, b"")).strip():
             text = line.decode("utf-8", "replace").rstrip("\r\n")
             if text[:1] in " \t" and name:  # a folded line
                 headers[name] += " " + text.strip()
                 continue
             name, _, value = text.partition(":")
-            headers[name.strip()] = value.strip()
-        block = stream.read(int(headers["Content-Length"]))
-        if len(block) < int(headers["Content-Length"]):
-            raise ValueError(f"record cut short: {headers.get('WARC-Record-ID')}")
-        yield headers, block
+            name = _FIELDS.get(name.strip().lower(), name.strip())
+            headers[name] = _BETWEEN.join([*([headers[name]] if name in headers else []), value.strip()])
+        if not headers.get("Content-Length", "").isdecimal():
+            raise ValueError(f"record without a length: {headers.get('WARC-Record-ID')}")
+        size, parts, found = int(headers["Content-Length"]), [], 0
+        while found < size:
+            if (line := next(rest, None)) is None:
+                raise ValueError(f"record cut short: {headers.get('WARC-Record-ID')}")
+            parts.append(line)
+            found += len(line)
+        block = b"".join(parts)
+        if block[size:].strip():  # the next record on the line where this one ends
+            rest = chain([block[size:]], rest)
+        yield headers, block[:size]
+
+
+def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Records of a file's bytes, gzipped (by record or whole) or plain."""
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
+    return records_of(stream)
 
 
 def _http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -133,7 +174,7 @@ def derived(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
     target = headers.get("WARC-Target-URI")
     its_digest = headers.get("WARC-Payload-Digest") or digest(payload)
     meta_id, text_id = record_id("metadata", source), record_id("conversion", source)
-    lines, links = read_page(html)
+    lines, links = read_page(html, zones=False)
     text = "\n".join(t for t, _ in lines).encode("utf-8", "surrogatepass")
     fields = [("source-status", status), *((f"source-{k.lower()}", v) for k, v in pairs)]
     fields += [("source-block-digest", headers.get("WARC-Block-Digest") or digest(block)), ("conversion", text_id)]
@@ -239,23 +280,41 @@ def as_bytes(records: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str, per_file: int = 10_000) -> None:
-    """Writes plain WARC files of at most ``per_file`` records each."""
+    """Writes plain WARC files of at most ``per_file`` records each; an empty table gives no records."""
     rows = as_bytes(records, []).select(F.expr("cast(substring(record, 1, length(record) - 1) as string)").alias("value"))
     rows.write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, plain or gzipped; a file is read by one task, a record at a time."""
+    """Records of the WARC files at ``path``, plain, or gzipped if their names end in ``.gz``.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                some: list[tuple[dict[str, str], bytes]] = []
-                for record in parsed(content):
-                    some.append(record)
-                    if len(some) == 500:
-                        yield pd.DataFrame(some, columns=["headers", "block"])
-                        some = []
-                yield pd.DataFrame(some, columns=["headers", "block"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)
+    A file is read by one task as a stream of lines, of which it holds one record at a time, so a file
+    may be of any size. Files of no bytes have no records; damaged ones raise, as ``records_of``
+    says. The session that reads is one of its own, as it must not cut files.
+    """
+    reader = spark.newSession()
+    whole = str(1 << 60)
+    for name in ("maxPartitionBytes", "openCostInBytes"):  # a file is a split, and a split a partition
+        reader.conf.set(f"spark.sql.files.{name}", whole)
+    lines = reader.read.option("lineSep", "\n").text(path)
+    rows = lines.select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("file"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = ((file, line + b"\n") for b in batches for file, line in zip(*(b.column(c).to_pylist() for c in ("file", "line"))))
+        for _, own in groupby(every, key=itemgetter(0)):
+            some: list[tuple[list[tuple[str, str]], bytes]] = []
+            held = 0
+            for headers, block in records_of(line for _, line in own):
+                some.append((list(headers.items()), block))
+                held += len(block)
+                if len(some) == 500 or held > 1 << 24:
+                    yield _record_batch(some)
+                    some, held = [], 0
+            yield _record_batch(some)
+
+    return rows.mapInArrow(run, RECORD)
+
+
+def _record_batch(records: list[tuple[list[tuple[str, str]], bytes]]) -> pa.RecordBatch:
+    headers = pa.array([h for h, _ in records], pa.map_(pa.string(), pa.string()))
+    return pa.RecordBatch.from_arrays([headers, pa.array([b for _, b in records], pa.binary())], names=["headers", "block"])

@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 
@@ -82,3 +83,58 @@ def test_bytes_of_a_record(spark):
     row = w.as_bytes(w.derivatives(w.responses(spark.createDataFrame(ROWS[:1], SCHEMA), []), []), ["headers"]).first()
     headers, block = next(w.parsed(bytes(row.record)))
     assert headers == row.headers and hashlib.sha1(block).digest()
+
+
+def test_names_of_any_case_and_repeated_fields(spark, tmp_path):
+    raw = (
+        b"WARC/1.0\r\nWarc-Type: response\r\nwarc-record-id: <urn:x>\r\nWARC-Concurrent-To: <a>\r\n"
+        b"warc-concurrent-to: <b>\r\nX-Own: 1\r\ncontent-length: 3\r\n\r\na\nb\r\n\r\n"
+    )
+    (headers, block), = w.parsed(raw)
+    assert block == b"a\nb" and headers == {
+        "WARC-Type": "response", "WARC-Record-ID": "<urn:x>", "WARC-Concurrent-To": "<a>, <b>", "X-Own": "1", "Content-Length": "3",
+    }
+    assert w.written(headers, block).count(b"WARC-Concurrent-To: ") == 2
+    assert [(h, b) for h, b in w.parsed(w.written(headers, block))] == [({**headers}, block)]
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(raw) + gzip.compress(raw))
+    (tmp_path / "y.warc").write_bytes(raw * 3)
+    (tmp_path / "z.warc").write_bytes(b"")
+    read = w.read_warc(spark, str(tmp_path))
+    assert [bytes(r.block) for r in read.collect()] == [b"a\nb"] * 5
+    assert w.derivatives(read, []).count() == 10
+    with pytest.raises(ValueError):
+        list(w.parsed(b"WARC/1.0\r\nWARC-Type: x\r\n\r\n"))
+
+
+def test_a_file_is_never_parted(spark, tmp_path):
+    """However small the splits of the session are, and though blocks look like records."""
+    one = w.written({"WARC-Type": "response"}, b"WARC/1.0\r\n\r\n" * 20_000)
+    (tmp_path / "x.warc").write_bytes(one * 12)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        assert {len(r.block) for r in w.read_warc(spark, str(tmp_path)).collect()} == {240_000}
+        assert w.read_warc(spark, str(tmp_path)).count() == 12
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_both_records_match_what_is_written_out_by_hand():
+    html = "<title>t</title><p>a<a href=/x>b</a><div>c"
+    headers, block = w.response(1, "http://h.example/p", html, "2026-01-02T00:00:00Z")
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    (meta, m), (text, t) = w.derived(headers, block)
+    assert t == b"ab\nc" and m.decode() == (
+        "source-status: HTTP/1.1 200 OK\r\nsource-content-type: text/html; charset=utf-8\r\n"
+        f"source-content-length: {len(html)}\r\nsource-block-digest: {sha1(block)}\r\n"
+        f"conversion: {text['WARC-Record-ID']}\r\noutlink: http://h.example/x a/@href\r\n"
+    )
+    for own, data, beside, kind in ((meta, m, text, "metadata"), (text, t, meta, "conversion")):
+        assert own == {
+            "WARC-Type": kind, "WARC-Record-ID": own["WARC-Record-ID"], "WARC-Refers-To": headers["WARC-Record-ID"],
+            "WARC-Concurrent-To": beside["WARC-Record-ID"], "WARC-Target-URI": "http://h.example/p",
+            "WARC-Date": "2026-01-02T00:00:00Z", "WARC-Source-Payload-Digest": sha1(html.encode()), "WARC-Block-Digest": sha1(data),
+            "Content-Type": "text/plain; charset=UTF-8" if kind == "conversion" else "application/warc-fields",
+            "Content-Length": str(len(data)),
+        }
+    assert meta["WARC-Record-ID"] != text["WARC-Record-ID"]
