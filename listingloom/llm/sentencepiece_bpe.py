@@ -19,17 +19,22 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
+from listingloom.llm.tables import by_slices
+
 SPACE = "▁"
 _MARKS = r"!-/:-@\[-`{-~"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Chunks that are remembered within a task, and characters that are worked on at a time.
 REMEMBERED = 300_000
 AT_ONCE = 2_000_000
+#: Characters of text whose ids a task holds as a whole.
+SLICE = 500_000
 #: Longer chunks have an agenda of their own.
 TOGETHER = 48
 _NONE = np.iinfo(np.int32).max
@@ -292,30 +297,49 @@ def _by_batch(model: bytes, batches: Iterator[pd.Series], use: Callable) -> Iter
         gc.enable()
 
 
-def encoded(docs: DataFrame, model: bytes, keep: list[str]) -> DataFrame:
-    """``keep`` columns, ``ids`` (with an end id) and ``decoded`` of every document.
+def encoded(docs: DataFrame, model: bytes, keep: list[str], decoded: bool = True) -> DataFrame:
+    """``keep`` columns, ``ids`` (with an end id), ``ids_sha256``, ``decoded_sha256`` and ``decoded``.
 
-    Null and empty texts have the end id alone and decode to an empty text. Each row stands
-    for itself, so repeated rows and ids are coded alike; an empty table gives no rows.
+    ``decoded`` is left out if not asked for; the digests are of the ids as text and of what they decode
+    to. A task holds the ids of ``SLICE`` characters of text at a time. Null and empty texts have
+    the end id alone and decode to an empty text. Each row stands for itself, so repeated rows and
+    ids are coded alike; an empty table gives no rows.
     """
 
-    def use(coded: Iterator[Coded]) -> pd.DataFrame:
-        rows = [(np.array(ids, np.int32), text) for ids, _, text in coded]
-        return pd.DataFrame({"ids": [i for i, _ in rows], "decoded": [d for _, d in rows]})
+    def start() -> Callable[..., list]:
+        coder = Coder(model)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from _by_batch(model, batches, use)
+        def work(texts: list[str | None]) -> list:
+            gc.disable()  # nothing here makes cycles, and there are millions of small tuples
+            try:
+                ends, flat, digits, shas, shown = [0], [], [], [], []
+                for ids, as_text, text in coder(texts):
+                    flat.append(np.array(ids, np.int32))
+                    ends.append(ends[-1] + len(ids))
+                    digits.append(_sha(as_text))
+                    shas.append(_sha(text))
+                    if decoded:
+                        shown.append(text)
+            finally:
+                gc.enable()
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*flat, np.zeros(0, np.int32)])))
+            return [lists, digits, shas, *([shown] if decoded else [])]
 
-    udf = F.pandas_udf(run, "ids array<int>, decoded string")
-    return docs.select(*keep, udf(F.col("text").cast("string")).alias("_coded")).select(*keep, "_coded.*")
+        return work
+
+    add = "ids array<int>, ids_sha256 string, decoded_sha256 string" + (", decoded string" if decoded else "")
+    return by_slices(docs, keep, add, start, at_once=SLICE)
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def digests(docs: DataFrame, model: bytes, keep: list[str]) -> DataFrame:
     """As ``encoded``, with counts and digests in place of ids and texts."""
-    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def use(coded: Iterator[Coded]) -> pd.DataFrame:
-        rows = [(len(ids), sha(digits), sha(text)) for ids, digits, text in coded]
+        rows = [(len(ids), _sha(digits), _sha(text)) for ids, digits, text in coded]
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
