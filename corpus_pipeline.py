@@ -11,36 +11,54 @@ from listingloom.llm.tables import stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; labels of trusted documents come from ``sf_dir``."""
+    """Documents that the quality rules keep; labels of trusted documents come from ``sf_dir``.
+
+    Null, empty and very short texts fail the base rules and go. Rows that repeat share their verdict;
+    other columns, null or not, are passed on. An empty table gives no rows.
+    """
     judged = quality_rules.with_verdict(docs, table(spark, sf_dir, "labels"), "_verdict")
     return judged.where("_verdict.kept").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat, or nearly repeat, an earlier one."""
+    """Documents without the lines that repeat, or nearly repeat, an earlier one.
+
+    The first line by document id (null last) and number stays. No document goes: null texts stay
+    null, one that loses all its lines has an empty text. Rows repeated with their id are one
+    document, of which each keeps the same. An empty table gives no rows.
+    """
     return line_dedup.without_repeated_lines(docs, short=True)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one with the least id.
+
+    Null and empty texts have fingerprint zero and are one group. Rows without an id are kept, as
+    no group can be named after them; where an id repeats, one row of each fingerprint stays.
+    An empty table gives no rows.
+    """
     return simhash.one_of_each_group(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes them."""
+    """The documents that the mix takes, each as often as it takes them.
+
+    A null source is a source like others, last in order. Null and empty texts have no words and
+    aren't taken. Rows that agree in all that orders them share their fate; an empty table gives no rows.
+    """
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, in place of its text, and the digests of both."""
-    coded = sentencepiece_bpe.encoded(docs, piece_model(), ["doc_id", "lang", "source"])
+    """Token ids of every document of the mix, in place of its text, and the digests of both.
+
+    Null and empty texts have the end id alone. Rows that repeat, as the mix makes them, are each
+    coded; an empty table gives no rows.
+    """
+    coded = sentencepiece_bpe.encoded(docs, piece_model(), ["doc_id", "lang", "source"], decoded=False)
     return coded.select(
-        "doc_id", "lang", "source",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "ids_sha256", "decoded_sha256"
+    )
 
 
 STAGES = [
