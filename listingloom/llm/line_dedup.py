@@ -1,33 +1,38 @@
 """Near-duplicate lines by a segment-partition edit join. Built-in expressions only.
 
-A line is cut into ``EDITS + 1`` segments. Of two lines at most ``EDITS`` edits apart, one
+A line that may have e edits is cut into e + 1 segments. Of two lines at most e edits apart, one
 segment of the shorter is found unchanged in the longer, at a place that the lengths bound.
 Segments are indexed by length and number, each line probes the lengths that may be linked to
 it, and what meets is verified by a banded bit-parallel edit distance.
 
-Distance by length, where short lines take part: lines of 1 to ``MIN_CHARS - 1`` code points that
-have a word are alike only if they are equal (distance 0), longer ones up to ``EDITS`` edits.
+How far lines may be apart follows from the shorter one's code points (``EDITS``): below 8 none,
+as one edit makes any of them alike, from 8 on one, from 20 on two. Every line with a word takes
+part, the shortest by being equal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.components import components
+from listingloom.llm.components import linked_in_rounds
 from listingloom.llm.tables import SPACE, maybe_in, stored, text_or_empty
 
-#: Edits (insertions, deletions, substitutions of code points) between linked lines.
-EDITS = 2
-#: Shorter lines are never linked by edits, as two would make any of them alike.
-MIN_CHARS = 20
+#: Edits (insertions, deletions, substitutions of code points) between linked lines, and the least
+#: length of the shorter line for which they are allowed.
+EDITS = {1: 8, 2: 20}
 
 
-def lines(docs: DataFrame, short: bool = False) -> DataFrame:
-    """A row per line to compare: its document, number, text, 128-bit identity.
+def edits_of(length: Column) -> Column:
+    """Edits that a line of a length may be away from a longer one."""
+    allowed = F.lit(0)
+    for edits, least in sorted(EDITS.items()):
+        allowed = F.when(length >= least, edits).otherwise(allowed)
+    return allowed
 
-    These are the lines of ``MIN_CHARS`` code points or more; with ``short`` also every shorter
-    one that has a word.
+
+def lines(docs: DataFrame) -> DataFrame:
+    """A row per line that has a word: its document, number, text, length and 128-bit identity.
 
     A document is known by its id and a hash of its text, as ids may repeat. The arrays that are
     opened here are never empty; the outer form spares a check for that, for which Spark would
@@ -37,47 +42,58 @@ def lines(docs: DataFrame, short: bool = False) -> DataFrame:
     rows = docs.select(
         "doc_id", F.xxhash64(text).alias("th"), F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line")
     ).withColumn("len", F.length("line"))
-    compared = F.col("len") >= MIN_CHARS
-    if short:
-        compared = compared | F.col("line").rlike(rf"[^{SPACE}]")
-    return rows.where(compared).withColumns(
+    return rows.where(F.col("line").rlike(rf"[^{SPACE}]")).withColumns(
         {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")}
     )
 
 
-def segment_keys(wide: Column, length: Column, edits: int = EDITS) -> Column:
-    """Hashed keys (length, segment, substring) of a line: its own segments, then its probes.
+def _probes(edits: int) -> list[tuple[int, int, int, int]]:
+    """(edits, d, segment, shift): for a line d shorter, where its segments may stand in this one.
 
-    ``wide`` is the line in UTF-32, of which a part is found without reading what precedes it.
-    Segments are as even as they can be, the longer ones last. For a length d shorter, segment
-    i of the indexed line may start in the probing line from max(p - i, p + d - (edits - i)) to
-    min(p + i, p + d + (edits - i)), p being its own start.
+    Segment i of the indexed line, which begins at p, may start in the probing line from
+    max(p - i, p + d - (edits - i)) to min(p + i, p + d + (edits - i)).
     """
-    parts = edits + 1
-    probes = [
-        (d, i, shift)
-        for d in range(parts)
-        for i in range(parts)
+    return [
+        (edits, d, i, shift)
+        for d in range(edits + 1)
+        for i in range(edits + 1)
         for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)
     ]
-    probes.sort(key=lambda p: (p[0] > 0 or p[2] != 0, p))  # own segments are probes without a shift
-    grid = F.array(
-        *(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in probes)
-    )
 
-    # A function over the grid, not one expression for each probe: their generated code would
-    # be too long for the JVM to compile.
-    def key(g: Column) -> Column:
-        indexed, i = length - g["d"], g["i"]
-        base, longer = F.floor(indexed / parts), indexed % parts
-        start = i * base + F.greatest(F.lit(0), longer - (parts - i)) + g["shift"]
-        size = base + (i + longer >= parts).cast("int")
-        return F.xxhash64(indexed, i, F.substring(wide, (4 * start + 1).cast("int"), (4 * size).cast("int")))
 
-    return F.transform(grid, key)
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` once for each of their ``key``: their own segments (``own``), and what they probe.
 
-
-def within(a: Column, b: Column, edits: int = EDITS) -> Column:
+    A key is a hash of length, segment and substring. Segments are as even as they can be, the
+    longer ones last. Lines that may have no edit have no key.
+    """
+    names = ("e", "d", "i", "shift")
+
+    def grid(probes: list[tuple[int, int, int, int]]) -> Column:
+        return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, p))) for p in probes))
+
+    # Which edits a probe is for follows from the length that it looks for.
+    bounds = sorted(EDITS.items())
+    chosen = F.lit(None).cast("array<struct<e:int,d:int,i:int,shift:int>>")
+    top = max(EDITS)
+    for length in sorted({least + more for _, least in bounds for more in range(top + 1)}):
+        probes = [
+            p
+            for p in (p for e, _ in bounds for p in _probes(e))
+            if max((e for e, least in bounds if length - p[1] >= least), default=0) == p[0]
+        ]
+        chosen = F.when(F.col("len") >= length, grid(probes)).otherwise(chosen)
+    opened = rows.select("*", F.inline(chosen))
+    indexed, parts = F.col("len") - F.col("d"), F.col("e") + 1
+    base, longer = F.floor(indexed / parts).cast("int"), indexed % parts
+    start = F.col("i") * base + F.greatest(F.lit(0), longer - (parts - F.col("i"))) + F.col("shift")
+    size = base + (F.col("i") + longer >= parts).cast("int")
+    key = F.xxhash64(indexed, "i", F.substring(F.col("line"), start + 1, size))
+    own = (F.col("d") == 0) & (F.col("shift") == 0)
+    return opened.select(key.alias("key"), own.alias("own"), *rows.columns)
+
+
+def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two arrays of characters, their lengths at most ``edits`` apart, are that near.
 
     Bit-parallel over a band: while the second text is at its character j, bit k of a word
@@ -140,84 +156,71 @@ def _parity(line: Column) -> Column:
     )
 
 
-def line_links(rows: DataFrame) -> DataFrame:
-    """``(u, v)``: every pair of different texts among ``rows`` of ``lines`` within ``EDITS`` edits.
+def line_groups(rows: DataFrame) -> DataFrame:
+    """``node, root`` of the texts among ``rows`` of ``lines`` that are linked to another one.
 
-    Equal lines meet before keys are made. A line appears in a pair only where the lengths and
-    the parity of its characters allow the link, which the join itself checks.
+    A text's node is its identity as text. Only lines of which a key is shared are looked at twice.
+    In a key's group texts are held against some of them at a time, as ``linked_in_rounds`` says;
+    lengths and the parity of characters are compared first, then the distance.
     """
-    wide = rows.select("h1", "h2", "len", F.encode("line", "UTF-32").alias("wide"))
-    texts = wide.groupBy("h1", "h2", "len", segment_keys(F.col("wide"), F.col("len")).alias("keys")).agg(F.count("*"))
-    keyed = texts.select("h1", "h2", "len", F.posexplode_outer("keys").alias("at", "key")).select(
-        "key", "h1", "h2", "len", (F.col("at") <= EDITS).alias("own")
-    )
-    group = Window.partitionBy("key")
-    hits = stored(
-        keyed.withColumn("_n", F.count("*").over(group)).withColumn("_own", F.max("own").over(group))
-        .where("_n > 1 and _own").select(keyed.columns).distinct(),
-        "segments",
-    )
-    met = stored(hits.select("h1", "h2").distinct(), "met")
-    chosen = stored(
-        maybe_in(rows.select("h1", "h2", "line"), "h1", met).distinct().join(met, ["h1", "h2"], "left_semi")
-        .withColumn("parity", _parity(F.col("line"))),
-        "lines",
-    )
-    signed = hits.join(chosen.select("h1", "h2", "parity"), ["h1", "h2"])
-    id_ = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
-    signed = signed.select("key", "len", "own", "parity", id_.alias("id"))
-    index = signed.where("own").select("key", *(F.col(c).alias(f"_{c}") for c in ("id", "len", "parity")))
-    # Of two lines of one length, both probe; the order of their ids keeps one of the pairs.
-    may = (
-        ((F.col("len") > F.col("_len")) | ((F.col("len") == F.col("_len")) & (F.col("id") != F.col("_id"))))
-        & (F.bit_count(F.col("parity").bitwiseXOR(F.col("_parity"))) <= 2 * EDITS)
-    )
-    pairs = signed.join(index, "key").where(may)
-    pairs = pairs.select(F.greatest("id", "_id").alias("u"), F.least("id", "_id").alias("v")).distinct()
-    chars = chosen.select(id_.alias("id"), F.split("line", "").alias("chars"))
-    both = pairs.join(chars.select(F.col("id").alias("u"), F.col("chars").alias("a")), "u").join(
-        chars.select(F.col("id").alias("v"), F.col("chars").alias("b")), "v"
-    )
-    return stored(both.where(within(F.col("a"), F.col("b"))).select("u", "v"), "links")
-
-
-def line_classes(docs: DataFrame, short: bool = False) -> DataFrame:
-    """``doc_id, th, line_no, class_doc, class_line, n_links, removed`` of every compared line.
+    every = keyed(rows.where(F.col("len") >= min(EDITS.values())).select("line", "len", "h1"))
+    met = every.groupBy("key").agg(F.min("h1").alias("_a"), F.max("h1").alias("_b"), F.max("own").alias("_own"))
+    met = stored(met.where("_a < _b and _own").select("key"), "met")
+    own = keyed(rows.where(F.col("len") >= min(EDITS.values())).select("line", "len", "h1", "h2"))
+    node = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")).alias("node")
+    hits = maybe_in(own, "key", met).join(met, "key").groupBy("key", node, "len", "line").agg(F.max("own").alias("own"))
+    hits = stored(hits, "segments")
+    texts = stored(hits.select("node", "line").distinct().withColumn("parity", _parity(F.col("line"))), "texts")
+    members = hits.select("key", "node", "len", "own").join(texts.select("node", "parity"), "node")
+
+    def may(one, other) -> Column:
+        allowed = edits_of(F.least(one("len"), other("len")))
+        odd = F.bit_count(one("parity").bitwiseXOR(other("parity")))
+        return (one("own") | other("own")) & (F.abs(one("len") - other("len")) <= allowed) & (odd <= 2 * allowed)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        for side, name in (("u", "a"), ("v", "b")):
+            pairs = pairs.join(texts.select(F.col("node").alias(side), F.split("line", "").alias(name)), side)
+        a, b = F.col("a"), F.col("b")
+        allowed, near = edits_of(F.least(F.size(a), F.size(b))), F.lit(False)
+        for edits in EDITS:
+            near = F.when(allowed == edits, within(a, b, edits)).otherwise(near)
+        return pairs.where(near)
+
+    return linked_in_rounds(members, may, verified)
+
+
+def line_classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, th, line_no, class_doc, class_line, removed`` of every line that has a word.
 
     Lines that are equal or linked, directly or over others, make up a class. It is named after
     its first line, by document id (null last) and number; all others are to be removed.
-    ``n_links`` counts the different texts within ``EDITS`` edits. Lines below ``MIN_CHARS``
-    code points are in a class with their equals only, and without ``short`` not listed: they
-    stay. Null or empty texts have no line to compare; a row
-    repeated with its id is the same document, of which both rows keep what one would.
+    Null, empty and white texts have no line to compare; a row repeated with its id is the same
+    document, of which both rows keep what one would. An empty table gives no rows.
     """
-    rows = lines(docs, short)
-    edges = line_links(rows.where(F.col("len") >= MIN_CHARS))
-    roots = components(edges)
-    degree = edges.select("u").union(edges.select("v")).groupBy(F.col("u").alias("node")).agg(
-        F.count("*").alias("n_links")
-    )
+    rows = lines(docs)
+    roots = line_groups(rows)
     id_ = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "line_no")
     firsts = rows.groupBy(id_.alias("id")).agg(F.min(place).alias("first"))
-    linked = roots.join(degree, "node").withColumnRenamed("node", "id")
+    linked = roots.withColumnRenamed("node", "id")
     named = stored(firsts.join(linked, "id", "left").withColumn("root", F.coalesce("root", "id")), "classes")
     heads = named.groupBy("root").agg(F.min("first").alias("head"))
-    named = named.join(heads, "root").select("id", "head", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.join(heads, "root").select("id", "head")
     return rows.select("doc_id", "th", "line_no", id_.alias("id"), place.alias("place")).join(named, "id").select(
         "doc_id", "th", "line_no",
-        F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line"), "n_links",
+        F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line"),
         (~F.col("place").eqNullSafe(F.col("head"))).alias("removed"),
     )
 
 
-def without_repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``, and ``n_chars`` counted anew if there.
 
-    ``short`` is that of ``line_classes``. A document all of whose lines go stays, with an empty text. Null texts stay null. All
+    A document all of whose lines go stays, with an empty text. Null texts stay null. All
     other columns are passed on.
     """
-    gone = line_classes(docs, short).where("removed").groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(
+    gone = line_classes(docs).where("removed").groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(
         F.collect_set("line_no").alias("_gone")
     )
     gone = stored(gone, "gone")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingloom.llm.components import components
+from listingloom.llm.components import linked_in_rounds
 from listingloom.llm.tables import by_slices, maybe_in, shuffled64, stored
 
 SHINGLE = 4
@@ -33,10 +33,7 @@ SHINGLE = 4
 PERCENT = 80
 ROWS = 4
 BANDS = 28
-#: In buckets of more members only some are leaders at a time; so many in the first round, in the
-#: buckets of the first ``EARLY`` bands; the number grows fourfold each round.
-TOGETHER = 16
-LEADERS = 2
+#: Bands whose large buckets are worked off first; copies of a group mostly meet there.
 EARLY = 2
 _GOLDEN = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
@@ -160,14 +157,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select(pairs.columns)
 
 
-def _live(members: DataFrame) -> DataFrame:
-    """``members`` of buckets that hold two groups or more, with ``k``, the members of each."""
-    several = members.groupBy("key").agg(
-        F.count("*").alias("k"), F.min("root").alias("_low"), F.max("root").alias("_high")
-    ).where("_low < _high").select("key", "k")
-    return members.join(stored(several, "several"), "key")
-
-
 def similar_groups(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int = PERCENT) -> DataFrame:
     """``node, root`` of all ``nodes`` (node, n, bands) that are linked to another; root is the least.
 
@@ -175,39 +164,14 @@ def similar_groups(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], per
     """
     keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "shared")
-    members = maybe_in(keyed, "key", shared).join(shared, "key").select("key", "band", "node", "n", F.col("node").alias("root"))
-    members = stored(_live(members), "members")
+    members = stored(maybe_in(keyed, "key", shared).join(shared, "key"), "shared")
     hashes = stored(sets(members.select("node").distinct()), "sets")
-    groups = None
-    leaders, bands = LEADERS, EARLY
-    while not members.isEmpty():
-        # Of the members of a large bucket, those with the least hashes lead: the same in all its buckets.
-        share = F.pmod(F.xxhash64(F.lit("leader"), "node"), F.lit(1 << 20)) / F.lit(1 << 20)
-        lead = (F.col("k") <= TOGETHER) | ((F.col("band") < bands) & (share * F.col("k") < leaders))
-        marked = members.withColumn("leads", lead)
-        first = marked.where("leads").select("key", *(F.col(c).alias(f"_{c}") for c in ("node", "n", "root")))
-        may = (F.col("root") != F.col("_root")) & _compatible(F.col("n"), F.col("_n"), percent)
-        once = ~F.col("leads") | (F.col("node") < F.col("_node"))
-        pairs = marked.join(first, "key").where(may & once)
-        own, its = F.struct("node", "root"), F.struct(F.col("_node").alias("node"), F.col("_root").alias("root"))
-        pairs = pairs.select(F.least(own, its).alias("u"), F.greatest(own, its).alias("v")).distinct()
-        pairs = pairs.select(*(F.col(f"{c}.node").alias(c) for c in "uv"), *(F.col(f"{c}.root").alias(f"{c}_root") for c in "uv"))
-        links = verified(stored(pairs, "pairs"), hashes, percent)
-        # Links of this round join groups: their roots are the nodes of what is left to do.
-        ends = stored(links.select(F.col("u_root").alias("u"), F.col("v_root").alias("v")), "links")
-        joined = stored(components(ends).select(F.col("node").alias("root"), F.col("root").alias("_to")), "roots")
-        to = F.coalesce("_to", "root").alias("root")
-        if groups is None:
-            groups = joined.select(F.col("root").alias("node"), F.col("_to").alias("root"))
-        else:
-            moved = groups.join(joined, "root", "left").select("node", to)
-            fresh = joined.join(groups.select(F.col("node").alias("root")), "root", "left_anti")
-            groups = moved.unionByName(fresh.select(F.col("root").alias("node"), F.col("_to").alias("root")))
-        groups = stored(groups, "groups")
-        rest = marked.where("not leads").join(joined, "root", "left").select("key", "band", "node", "n", to)
-        members = stored(_live(rest), "members")
-        leaders, bands = 4 * leaders, BANDS
-    return groups if groups is not None else members.select("node", "root")
+    return linked_in_rounds(
+        members,
+        lambda one, other: _compatible(one("n"), other("n"), percent),
+        lambda pairs: verified(pairs, hashes, percent),
+        F.col("band") < EARLY,
+    )
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -1,11 +1,21 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from listingloom.llm import components
 from listingloom.llm import line_dedup as d
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]")
+
+
+def allowed(n):
+    """Edits between lines of which the shorter has n code points."""
+    return 0 if n < 8 else 1 if n < 20 else 2
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -17,7 +27,7 @@ def edits(a, b):
 
 def changed(rnd, text, n):
     for _ in range(n):
-        at = rnd.randrange(len(text))
+        at = rnd.randrange(len(text) + 1)
         text = rnd.choice([text[:at] + text[at + 1 :], text[:at] + "é" + text[at:], text[:at] + "ü" + text[at + 1 :]])
     return text
 
@@ -40,8 +50,8 @@ def test_bit_parallel_distance_matches_the_table(spark, most):
 
 
 def classes(texts):
-    """First (document, line) of the class of each compared line, by comparing all pairs."""
-    lines = [(i, j, x) for i, t in enumerate(texts) for j, x in enumerate((t or "").split("\n")) if len(x) >= d.MIN_CHARS]
+    """First (document, line) of the class of each line with a word, by comparing all pairs."""
+    lines = [(i, j, x) for i, t in enumerate(texts) for j, x in enumerate((t or "").split("\n")) if WORD.search(x)]
     root = list(range(len(lines)))
 
     def find(x):
@@ -49,17 +59,14 @@ def classes(texts):
             x = root[x]
         return x
 
-    links = {x: set() for _, _, x in lines}
     for p in range(len(lines)):
         for q in range(p):
             a, b = lines[p][2], lines[q][2]
-            if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
-                if a != b:
-                    links[a].add(b)
-                    links[b].add(a)
+            n = allowed(min(len(a), len(b)))
+            if a == b or (abs(len(a) - len(b)) <= n and edits(a, b) <= n):
                 x, y = find(p), find(q)
                 root[max(x, y)] = min(x, y)
-    return {(i, j): (*lines[find(p)][:2], len(links[x])) for p, (i, j, x) in enumerate(lines)}
+    return {(i, j): lines[find(p)][:2] for p, (i, j, x) in enumerate(lines)}
 
 
 def test_classes_match_brute_force(docs, words):
@@ -70,7 +77,7 @@ def test_classes_match_brute_force(docs, words):
         own = [changed(rnd, rnd.choice(seeds), rnd.randint(0, 4)) for _ in range(4)]
         texts.append("\n".join([*own, words(6, 100 + i), "short", rnd.choice(seeds)]))
     texts += ["aaaaaaaaaaaaaaaaaaaaaaaaa\n" + "a" * 27 + "\n" + "a" * 29, None, "", "\n\n"]
-    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links) for r in d.line_classes(docs(texts)).collect()}
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in d.line_classes(docs(texts)).collect()}
     assert got == classes(texts)
 
 
@@ -78,14 +85,45 @@ def test_a_hot_line_with_many_variants(docs, words):
     rnd = random.Random(9)
     hot = words(10, 77)
     texts = [hot + "\n" + changed(rnd, hot, rnd.randint(0, 3)) for _ in range(60)]
-    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links) for r in d.line_classes(docs(texts)).collect()}
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in d.line_classes(docs(texts)).collect()}
+    assert got == classes(texts)
+
+
+def test_lines_of_every_length(docs):
+    rnd = random.Random(12)
+    texts = []
+    for n in [*range(1, 26)] * 2:
+        line = "".join(rnd.choices("abcd ", k=n - 1)) + "x"
+        texts.append("\n".join([line, *(changed(rnd, line, k) for k in (1, 1, 2, 3))]))
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in d.line_classes(docs(texts)).collect()}
     assert got == classes(texts)
 
 
+@pytest.mark.parametrize("together", [None, 2])
+def test_a_large_group_is_not_paired(docs, words, monkeypatch, together):
+    """Lines that differ in a number: links of some leaders, not of all pairs, give the same classes."""
+    if together:
+        monkeypatch.setattr(components, "TOGETHER", together)
+    made = []
+    keep = components.stored
+
+    def noted(df, purpose):
+        out = keep(df, purpose)
+        if purpose == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "stored", noted)
+    base = words(9, 5)
+    texts = [f"{base} no {i:04d}" for i in random.Random(1).sample(range(10_000), 120)]
+    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line) for r in d.line_classes(docs(texts)).collect()}
+    assert got == classes(texts) and sum(made) < 120 * 119 / 4
+
+
 def test_lines_are_removed_and_everything_else_is_kept(docs, words):
     a, b, c = words(8, 1), words(8, 2), words(8, 3)
     rows = d.without_repeated_lines(docs([f"{a}\nhi\n{b}", f"{a}!\nhi\n{c}", f"{b}\n{b}", c[:10]])).orderBy("doc_id").collect()
-    assert [r.text for r in rows] == [f"{a}\nhi\n{b}", f"hi\n{c}", "", c[:10]]
+    assert [r.text for r in rows] == [f"{a}\nhi\n{b}", c, "", c[:10]]
     assert [r.n_chars for r in rows] == [len(r.text) for r in rows]
 
 

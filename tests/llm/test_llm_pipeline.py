@@ -6,14 +6,14 @@ from collections import Counter
 
 import duckdb
 import pytest
-from test_line_dedup import edits
+from test_line_dedup import WORD, allowed, edits
 from test_quality_rules import base, grams
 from test_sentencepiece import library
 from test_simhash import brute_fp, brute_groups
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from listingloom.llm import line_dedup, quality_rules
+from listingloom.llm import quality_rules
 from listingloom.llm.oracles import MIXING
 from listingloom.llm.queries import QUERIES
 
@@ -28,7 +28,7 @@ COLUMNS = {
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     },
     "op6_html_extraction": {"page_id", "url", "text", "n_chars"},
-    "op7_line_dedup": {"doc_id", "line_no", "class_doc", "class_line", "n_links", "removed"},
+    "op7_line_dedup": {"doc_id", "line_no", "class_doc", "class_line", "removed"},
     "op8_mixing": {"doc_id", "size", "source_size", "target", "taken"},
     "op9_quality_rules": {
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -90,7 +90,7 @@ def held_against_rules(texts, trusted):
 
 def without_lines(texts):
     """Documents in order of id, without lines that repeat or nearly repeat an earlier one."""
-    rows = [(i, j, x) for i, t in sorted(texts.items()) for j, x in enumerate(t.split("\n")) if len(x) >= line_dedup.MIN_CHARS]
+    rows = [(i, j, x) for i, t in sorted(texts.items()) for j, x in enumerate(t.split("\n")) if WORD.search(x)]
     texts_of = list(dict.fromkeys(x for _, _, x in rows))
     bags = {x: Counter(x) for x in texts_of}
     root = {x: x for x in texts_of}
@@ -105,7 +105,8 @@ def without_lines(texts):
         for n in range(len(x) - 2, len(x) + 3):
             for y in by_length.get(n, []):
                 differ = sum((bags[x] - bags[y]).values()) + sum((bags[y] - bags[x]).values())
-                if differ <= 4 and edits(x, y) <= 2:
+                n_edits = allowed(min(len(x), len(y)))
+                if abs(len(x) - len(y)) <= n_edits and differ <= 2 * n_edits and edits(x, y) <= n_edits:
                     root[find(x)] = find(y)
         by_length.setdefault(len(x), []).append(x)
     seen, gone = set(), set()

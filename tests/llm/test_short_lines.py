@@ -1,11 +1,8 @@
-"""Lines below the length of the edit join: equal ones are found, listed and removed."""
+"""Lines too short for any edit: equal ones are found, listed and removed."""
 
 import re
 
 import corpus_pipeline
-from test_line_dedup import classes
-
-from listingloom.llm import line_dedup as d
 from listingloom.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -26,14 +23,6 @@ def test_the_query_lists_every_line_with_a_word_and_removes_equal_ones(spark):
     assert repeats <= {(r.doc_id, r.line_no) for r in got if r.removed}
 
 
-def test_short_lines_meet_their_equals_only(spark, docs, words):
-    long = words(8, 1)
-    texts = [f"{long}\nhi\n\n \t", f"{long}!\nho\nhi", "hi\nhi\n\n", None, "", "é"]
-    got = {(r.doc_id, r.line_no): (r.class_doc, r.class_line, r.n_links) for r in d.line_classes(docs(texts), short=True).collect()}
-    short = {(0, 1): (0, 1, 0), (1, 1): (1, 1, 0), (1, 2): (0, 1, 0), (2, 0): (0, 1, 0), (2, 1): (0, 1, 0), (5, 0): (5, 0, 0)}
-    assert got == classes(texts) | short
-
-
 def test_the_stage_removes_short_repeats(spark, docs, words):
     a, b = words(8, 1), words(8, 2)
     out = corpus_pipeline.lines(spark, docs([f"{a}\nhi\n\n{b}", f"{a}!\nhi\n\nho"]), SF).orderBy("doc_id").collect()
