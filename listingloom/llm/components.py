@@ -48,10 +48,11 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(_step(now), "edges")
 
 
-#: In buckets of more members only some lead at a time: so many in the first round, four times as
+#: In buckets of more members only some lead at a time: so many in the first round, GROWTH times as
 #: many in each that follows.
 TOGETHER = 16
 LEADERS = 2
+GROWTH = 16
 
 
 def _live(members: DataFrame) -> DataFrame:
@@ -67,6 +68,7 @@ def linked_in_rounds(
     may: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verified: Callable[[DataFrame], DataFrame],
     early: Column | None = None,
+    refined: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``node, root`` of every node that is linked to another one of its key; root is the least reachable.
 
@@ -75,7 +77,9 @@ def linked_in_rounds(
     condition on the columns of both, ``verified`` keeps the rows of a table with ``u, v`` that are
     linked. A leader is then done with. So every two members of a key that may be linked are verified
     or already in one group, while a large key of which most are alike needs a few leaders only.
-    Of large keys only rows where ``early`` holds lead in the first round.
+    Of large keys only rows where ``early`` holds lead in the first round. What is left after it, members
+    of large keys in several groups, may be given other keys by ``refined``, which must bring together
+    all of them that may be linked.
     """
     own = members.columns
     members = stored(_live(members.withColumn("root", F.col("node"))), "members")
@@ -107,5 +111,7 @@ def linked_in_rounds(
         groups = stored(groups, "groups")
         rest = marked.where("not leads").join(joined, "root", "left").select(*own, to)
         members = stored(_live(rest), "members")
-        leaders *= 4
+        if refined and leaders == LEADERS and not members.isEmpty():
+            members = stored(_live(refined(members).select(*own, "root")), "members")
+        leaders *= GROWTH
     return groups if groups is not None else members.select("node", "root")

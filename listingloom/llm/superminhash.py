@@ -11,7 +11,8 @@ a Jaccard index of 0.8 miss each other in all ``BANDS`` buckets with a probabili
 (1 - 0.8^ROWS)^BANDS = 4e-7, more similar ones less. Buckets are worked off in rounds: some members
 are held, as leaders, against all members that aren't yet known to be in their group, by the full
 sets. A leader is then done with; so every pair of a bucket is either verified or already in one
-group, while a large bucket of near copies needs a few leaders only.
+group, while a large bucket of near copies needs a few leaders only. What large buckets still hold
+after the first round, mostly documents that share a passage, meets anew by the rarest shingles.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from listingloom.llm.components import linked_in_rounds
@@ -166,11 +167,26 @@ def similar_groups(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], per
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "shared")
     members = stored(maybe_in(keyed, "key", shared).join(shared, "key"), "shared")
     hashes = stored(sets(members.select("node").distinct()), "sets")
+
+    def rarest(left: DataFrame) -> DataFrame:
+        """Their rarest shingles as keys: similar sets share one of the first n - ceil(n * percent) + 1.
+
+        That holds in any order of shingles. In this one a passage that many documents share comes
+        last, so those that share nothing else don't meet again.
+        """
+        nodes = stored(left.select("node", "n", "root").distinct(), "left")
+        each = hashes.join(nodes, "node").select("node", "n", "root", F.explode("shingles").alias("key"))
+        often = each.groupBy("key").agg(F.count("*").alias("_often"))
+        order = F.row_number().over(Window.partitionBy("node").orderBy("_often", "key"))  # a set's own shingles
+        first = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+        return each.join(often, "key").withColumn("_at", order).where(F.col("_at") <= first).withColumn("band", F.lit(0))
+
     return linked_in_rounds(
         members,
         lambda one, other: _compatible(one("n"), other("n"), percent),
         lambda pairs: verified(pairs, hashes, percent),
         F.col("band") < EARLY,
+        rarest,
     )
 
 
