@@ -513,12 +513,13 @@ def stream_new_keyed(spark, sf_dir):
     landed, fresh, state = scratch(spark, "keys"), scratch(spark, "fresh"), scratch(spark, "stream")
     first, last = rows.agg(F.min("run_no"), F.max("run_no")).first()
     middle = (first + last) // 2
-    # Weeks of the history, each landed by itself; stopped half way and gone on with.
+    # Weeks of the history, each landed by itself and made distinct in parallel; stopped half way and
+    # gone on with. A batch takes all files that are there, as a week may be any number of them.
     for low, high in ((first, middle), (middle + 1, last)):
         for week in range(low, high + 1, 7):
             part = rows.filter(F.col("run_no").between(week, min(week + 6, high)))
-            keyed.land_keys(part.coalesce(1), landed)
-        stream = keyed.fresh_keys(keyed.read_keys(spark, landed, files_per_batch=1)).writeStream
+            keyed.land_keys(part, landed)
+        stream = keyed.fresh_keys(keyed.read_keys(spark, landed)).writeStream
         stream.format("parquet").option("path", fresh).option("checkpointLocation", state).trigger(
             availableNow=True
         ).start().awaitTermination()
