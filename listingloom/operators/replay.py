@@ -29,3 +29,15 @@ def fresh_keys(rows: DataFrame) -> DataFrame:
 def replay(rows: DataFrame) -> DataFrame:
     """The rows, copies included, that were new in their run."""
     return rows.join(fresh_keys(rows), [*KEY, "run_no"], "left_semi")
+
+
+def replay_after(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """As :func:`replay` for a stretch of history that follows a stored seen set.
+
+    ``run_no`` counts the runs of the stretch from 1; ``seen``, distinct (category, id), is what the
+    run before them left and stands as run 0. Copies within ``seen`` and ``rows`` do no harm.
+    """
+    keys = rows.select(*KEY, "run_no")
+    before = seen.select(*KEY, F.lit(0).cast(rows.schema["run_no"].dataType).alias("run_no"))
+    fresh = fresh_keys(keys.unionAll(before)).filter("run_no > 0")
+    return rows.join(fresh, [*KEY, "run_no"], "left_semi")

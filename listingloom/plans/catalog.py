@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import wraps
 
@@ -14,12 +15,12 @@ from listingloom.operators import diff, ranking, replay, routing, select, stats,
 from listingloom.plans import runs
 from listingloom.schema import LISTING
 from listingloom.session import prepare, scratch
-from listingloom.sources import deliveries, feed, settings, subscriptions, tables
+from listingloom.sources import deliveries, feed, settings, split_array, subscriptions, tables
 from listingloom.sources.ledger import Ledger
 from listingloom.sources.params import DAY, RunParams, run_params
 from listingloom.streaming import keyed, manifest
 from listingloom.streaming.manifest import Entry
-from listingloom.streaming.runs import diff_run, listing_run, start_runs
+from listingloom.streaming.runs import diff_batch, listing_run, start_catch_up, start_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -464,6 +465,20 @@ def feed_array(spark, sf_dir):
     )
 
 
+@query
+def feed_array_split(spark, sf_dir):
+    """Large array documents, each read by many tasks: every element with its outcome."""
+    path = scratch(spark, "documents")
+    tables.listing_documents(spark, sf_dir).write.partitionBy("doc").text(path)
+    checked = strict.validate(split_array.read_split_array(spark, path))
+    return checked.select(
+        F.regexp_extract("ordinal.file", r"/doc=(\d+)/", 1).cast("bigint").alias("doc"),
+        F.col("ordinal.place").alias("place"),
+        F.when(F.col("reject_reason").isNull(), F.col("id")).alias("id"),
+        F.coalesce("reject_reason", F.lit("")).alias("reason"),
+    )
+
+
 # Histories and streams
 
 
@@ -495,12 +510,24 @@ def _land_event_snapshots(spark: SparkSession, sf_dir: str) -> list[Entry]:
 
 @query
 def stream_new(spark, sf_dir):
-    """The history as a stream of snapshots with a replaced seen set."""
+    """The history as a stream of snapshots: each batch catches up with all of its runs at once.
+
+    Stopped half way, reopened and gone on with.
+    """
     entries = _land_event_snapshots(spark, sf_dir)
-    root = scratch(spark, "ledger")
-    columns = "category string, id string, event_id bigint"
-    run = diff_run(lambda entry: manifest.read_snapshot(spark, entry, columns))
-    _in_two_goes(spark, scratch(spark, "manifest"), entries, root, run)
+    root, listed, state = scratch(spark, "ledger"), scratch(spark, "manifest"), scratch(spark, "stream")
+    stored = spark.read.schema("category string, id string, event_id bigint, run_no bigint").parquet(
+        os.path.dirname(entries[0].snapshot)
+    )
+
+    def read_rows(some: list[Entry]) -> DataFrame:
+        return stored.filter(F.col("run_no").between(some[0].run_no, some[-1].run_no))
+
+    half = len(entries) // 2
+    for some in (entries[:half], entries[half:]):
+        manifest.append(spark, listed, some)
+        source = manifest.read_stream(spark, listed)
+        start_catch_up(source, Ledger(spark, root), diff_batch(read_rows), state).awaitTermination()
     ledger = Ledger(spark, root)
     new = ledger.read("new", "category string, id string, event_id bigint")
     return new.select("run_no", "category", "id", "event_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from listingloom import schema as S
+from listingloom.sources.tables import DOCUMENT_ORDERS, LINE_ORDER
 
 _DAY = 86400
 
@@ -362,6 +363,17 @@ ORACLES: dict[str, str] = {
                CASE WHEN place = 1 OR reason = 'bad_json' THEN 'not_an_object' ELSE reason END
                  AS reason
         FROM judged, (VALUES (0), (1), (2)) p(place)""",
+    "feed_array_split": f"""WITH {_FEED}, placed AS (
+          SELECT *, l_orderkey // {DOCUMENT_ORDERS} AS doc,
+                 row_number() OVER (PARTITION BY l_orderkey // {DOCUMENT_ORDERS}
+                                    ORDER BY {', '.join(LINE_ORDER)}) AS place
+          FROM judged)
+        SELECT CAST(doc AS BIGINT) AS doc, CAST(place AS BIGINT) AS place,
+               CASE WHEN reason = '' THEN line_key END AS id,
+               CASE reason WHEN 'bad_json' THEN 'not_an_object' ELSE reason END AS reason
+        FROM placed
+        UNION ALL
+        SELECT DISTINCT CAST(doc AS BIGINT), 0, NULL, 'not_an_object' FROM placed""",
     "snapshot_replay": _REPLAY,
     "stream_new": _REPLAY,
     "stream_new_keyed": _REPLAY,

@@ -85,6 +85,29 @@ class Ledger:
     def write(self, table: str, run_no: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(self.path(table, run_no))
 
+    def write_runs(self, table: str, run_nos: list[int], rows: DataFrame) -> None:
+        """The rows of several runs, told apart by ``run_no``, in one job; a folder for every run.
+
+        A folder that an earlier attempt left is replaced, also by none: rows are dealt out by run,
+        and a run that has many is shared among tasks.
+        """
+        if not run_nos:
+            return
+        stored = rows.withColumnRenamed("run_no", "run")
+        empty = stored.drop("run").limit(0)
+        held = {row["run"] for row in stored.select("run").distinct().toLocalIterator()}
+        if not held <= set(run_nos):
+            raise ValueError(f"rows of runs that aren't written: {sorted(held - set(run_nos))}")
+        for run_no in sorted(set(run_nos) - held):
+            self.write(table, run_no, empty)
+        (
+            stored.hint("rebalance", "run")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("run")
+            .parquet(f"{self.root}/{table}")
+        )
+
     def read(self, table: str, schema: str) -> DataFrame:
         """The rows of all executed, committed runs of a table, with their run as ``run_no``.
 

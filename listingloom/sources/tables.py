@@ -264,6 +264,13 @@ CASE l_quantity WHEN 1 THEN concat(record, ' trailing') WHEN 2 THEN concat(recor
   ELSE record END"""
 
 
+# Line numbers are not unique: what tells equal ones apart is all that a record is written from.
+LINE_ORDER = (
+    "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_discount", "l_tax", "l_linestatus", "l_shipdate",
+)
+DOCUMENT_ORDERS = 50_000
+
+
 def listing_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as listing records in JSON, in all the ways a field may be written.
 
@@ -275,5 +282,29 @@ def listing_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(unix_seconds(CAST(l_shipdate AS TIMESTAMP)) AS STRING) AS posted",
     )
     return lines.selectExpr("*", f"{_RECORD} AS record").selectExpr(
-        "line_key", "l_orderkey", f"{_DAMAGED} AS body", "l_quantity NOT IN (1, 2, 3, 4, 46, 50) AS sound"
+        "line_key", "l_orderkey", f"{_DAMAGED} AS body", "l_quantity NOT IN (1, 2, 3, 4, 46, 50) AS sound",
+        f"struct({', '.join(LINE_ORDER)}) AS line_order",
+    )
+
+
+def listing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc, value``: lines of one large array document per 50,000 order numbers, in order.
+
+    Element 0 is a text; a record that is not JSON stands in the document as a text.
+    """
+    bodies = listing_bodies(spark, sf_dir).withColumn(
+        "doc", F.floor(F.col("l_orderkey") / DOCUMENT_ORDERS).cast("bigint")
+    )
+    element = F.when(F.col("sound"), F.col("body")).otherwise(
+        F.expr("substring(to_json(array(body)), 2, length(to_json(array(body))) - 2)")
+    )
+    rows = bodies.select("doc", F.lit(1).alias("part"), "line_order", F.concat(F.lit(", "), element).alias("value"))
+    ends = bodies.select("doc").distinct().selectExpr(
+        "doc", "inline(array(struct(0 AS part, '[ \"first\"' AS value), struct(2 AS part, ' ]' AS value)))"
+    )
+    return (
+        rows.unionByName(ends, allowMissingColumns=True)
+        .repartition("doc")
+        .sortWithinPartitions("doc", "part", "line_order")
+        .select("doc", "value")
     )

@@ -8,7 +8,7 @@ from listingloom.operators import replay
 from listingloom.sources.ledger import Ledger
 from listingloom.streaming import keyed, manifest
 from listingloom.streaming.manifest import Entry
-from listingloom.streaming.runs import diff_run, start_runs
+from listingloom.streaming.runs import diff_batch, diff_run, start_catch_up, start_runs
 
 ROWS = "category string, id string, run_no long, n long"
 STORED = "category string, id string, n long"
@@ -87,6 +87,68 @@ def test_a_repeated_batch_writes_nothing_twice(spark, rows, tmp_path):
     assert got == [r for r in loop(rows) if r[2] <= 3]
 
 
+def caught_up(spark, table, listed, root, checkpoint):
+    """One batch over all listed runs."""
+    def read_rows(entries):
+        return table.filter(F.col("run_no").isin([e.run_no for e in entries]))
+
+    ledger = Ledger(spark, root)
+    source = manifest.read_stream(spark, listed)
+    start_catch_up(source, ledger, diff_batch(read_rows), checkpoint).awaitTermination()
+    return ledger
+
+
+def test_catch_up_matches_the_loop_and_continues_from_the_seen_set(spark, rows, tmp_path):
+    """Batches of three, one and four runs; run 4 is empty and is the last of its batch."""
+    table = spark.createDataFrame(rows, ROWS)
+    listed, root = str(tmp_path / "manifest"), str(tmp_path / "ledger")
+    for some in ((1, 2, 3), (4,), (5, 6, 7, 8)):
+        manifest.append(spark, listed, [Entry(n, "-", n) for n in some])
+        ledger = caught_up(spark, table, listed, root, str(tmp_path / "checkpoint"))
+        assert ledger.last.run_no == some[-1]
+        assert sorted(ledger.seen().collect()) == sorted({r[:2] for r in rows if r[2] == some[-1]})
+    assert ledger.commits().count() == 8
+    assert collected(ledger.read("new", STORED)) == loop(rows)
+
+
+def test_catch_up_that_fails_half_way_is_gone_on_with(spark, rows, tmp_path, monkeypatch):
+    """Five commits of eight; the retry starts from the seen set of the fifth and keeps its commits."""
+    table = spark.createDataFrame(rows, ROWS)
+    listed, root = str(tmp_path / "manifest"), str(tmp_path / "ledger")
+    manifest.append(spark, listed, [Entry(n, "-", n) for n in (8, 2, 3, 1, 5, 4, 7, 6, 2)])
+    commit = Ledger.commit
+
+    def failing(self, run_no, executed):
+        if run_no == 6:
+            raise OSError("lost")
+        commit(self, run_no, executed)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(Ledger, "commit", failing)
+        with pytest.raises(Exception, match="lost"):
+            caught_up(spark, table, listed, root, str(tmp_path / "checkpoint"))
+    ledger = Ledger(spark, root)
+    assert ledger.last.run_no == 5
+    assert collected(ledger.read("new", STORED)) == [r for r in loop(rows) if r[2] <= 5]
+    ledger = caught_up(spark, table, listed, root, str(tmp_path / "checkpoint"))
+    assert ledger.last.run_no == 8 and ledger.commits().count() == 8
+    assert collected(ledger.read("new", STORED)) == loop(rows)
+
+
+def test_runs_of_a_batch_may_skip_numbers(spark, rows, tmp_path):
+    """A run is compared with the entry before it; rows of runs that aren't due are refused."""
+    table = spark.createDataFrame([r for r in rows if r[2] in (2, 5, 7)], ROWS)
+    listed, root = str(tmp_path / "manifest"), str(tmp_path / "ledger")
+    manifest.append(spark, listed, [Entry(n, "-", n) for n in (2, 5, 7)])
+    ledger = caught_up(spark, table, listed, root, str(tmp_path / "checkpoint"))
+    step = {2: 1, 5: 2, 7: 3}
+    want = loop([(r[0], r[1], step[r[2]], r[3]) for r in rows if r[2] in step])
+    got = collected(ledger.read("new", STORED))
+    assert [(c, i, step[n], m) for c, i, n, m in got] == want
+    with pytest.raises(ValueError, match="aren't written"):
+        ledger.write_runs("new", [9], table)
+
+
 def test_keyed_state_matches_the_loop_and_forgets_old_keys(spark, rows, tmp_path):
     table = spark.createDataFrame(rows, ROWS)
     landed, fresh = str(tmp_path / "keys"), str(tmp_path / "fresh")
