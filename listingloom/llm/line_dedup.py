@@ -156,12 +156,27 @@ def _parity(line: Column) -> Column:
     )
 
 
+def _pair_parity(line: Column) -> tuple[Column, Column]:
+    """The same for neighbouring characters, in two words: a substitution flips four bits at most, an
+    insertion or deletion three."""
+    chars = F.split(line, "")
+    classes = F.zip_with(chars, F.slice(chars, 2, F.size(chars)), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(128)))
+
+    def word(at: int) -> Column:
+        bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (c % 64).cast("int"))
+        return F.aggregate(
+            classes, F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(F.when(c.between(at, at + 63), bit(c)).otherwise(0))
+        )
+
+    return word(0), word(64)
+
+
 def line_groups(rows: DataFrame) -> DataFrame:
     """``node, root`` of the texts among ``rows`` of ``lines`` that are linked to another one.
 
     A text's node is its identity as text. Only lines of which a key is shared are looked at twice.
     In a key's group texts are held against some of them at a time, as ``linked_in_rounds`` says;
-    lengths and the parity of characters are compared first, then the distance.
+    lengths and the parity of characters and of their pairs are compared first, then the distance.
     """
     every = keyed(rows.where(F.col("len") >= min(EDITS.values())).select("line", "len", "h1"))
     met = every.groupBy("key").agg(F.min("h1").alias("_a"), F.max("h1").alias("_b"), F.max("own").alias("_own"))
@@ -170,13 +185,19 @@ def line_groups(rows: DataFrame) -> DataFrame:
     node = F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")).alias("node")
     hits = maybe_in(own, "key", met).join(met, "key").groupBy("key", node, "len", "line").agg(F.max("own").alias("own"))
     hits = stored(hits, "segments")
-    texts = stored(hits.select("node", "line").distinct().withColumn("parity", _parity(F.col("line"))), "texts")
-    members = hits.select("key", "node", "len", "own").join(texts.select("node", "parity"), "node")
+    line = F.col("line")
+    first, second = _pair_parity(line)
+    texts = hits.select("node", "line").distinct().select("*", _parity(line).alias("parity"), first.alias("p1"), second.alias("p2"))
+    texts = stored(texts, "texts")
+    members = hits.select("key", "node", "len", "own").join(texts.drop("line"), "node")
 
     def may(one, other) -> Column:
         allowed = edits_of(F.least(one("len"), other("len")))
-        odd = F.bit_count(one("parity").bitwiseXOR(other("parity")))
-        return (one("own") | other("own")) & (F.abs(one("len") - other("len")) <= allowed) & (odd <= 2 * allowed)
+        longer = F.abs(one("len") - other("len"))
+        odd = lambda name: F.bit_count(one(name).bitwiseXOR(other(name)))
+        # Of the allowed edits as many as lines differ in length are insertions or deletions.
+        near = (odd("parity") <= 2 * allowed) & (odd("p1") + odd("p2") <= 4 * allowed - longer)
+        return (one("own") | other("own")) & (longer <= allowed) & near
 
     def verified(pairs: DataFrame) -> DataFrame:
         for side, name in (("u", "a"), ("v", "b")):

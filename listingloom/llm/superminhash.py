@@ -36,6 +36,9 @@ ROWS = 4
 BANDS = 28
 #: Bands whose large buckets are worked off first; copies of a group mostly meet there.
 EARLY = 2
+#: Words of a set's parity: a bit per class of hashes, set where their number in the set is odd.
+PARITY = 4
+_PARITIES = [f"p{i}" for i in range(PARITY)]
 _GOLDEN = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
 _MAX = np.iinfo(np.uint64).max
@@ -105,11 +108,19 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``PARITY`` words per set. Those of two sets differ in no more bits than the sets in hashes."""
+    bits = np.zeros((len(sets), PARITY * 64), np.uint8)
+    for row, hashes in zip(bits, sets):
+        row[:] = np.bincount((hashes >> np.uint64(8)).astype(np.int64) % len(row), minlength=len(row)) & 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def signatures(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``keep`` columns, a number ``row`` of the row's own, its set and the keys of its bands.
 
-    ``n`` is the size of the set, ``s1, s2`` 128 bits that name it, ``shingles`` its hashes in
-    order. Without words ``n`` is 0 and there are no bands. Row numbers are made by the task that
+    ``n`` is the size of the set, ``s1, s2`` 128 bits that name it, ``p0`` and so on its parity,
+    ``shingles`` its hashes in order. Without words ``n`` is 0 and there are no bands. Row numbers are made by the task that
     reads the row: to be stored before use.
     """
 
@@ -134,15 +145,16 @@ def signatures(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, bands:
             )
             return [
                 pa.array(numbers), pa.array(n), pa.array(names[:, 0]), pa.array(names[:, 1]),
+                *(pa.array(word) for word in parities(sets).T.copy()),
                 lists(bands * (n > 0), keys.reshape(-1)),
                 lists(n, np.concatenate(sets).view(np.int64)),
             ]
 
         return work
 
-    return by_slices(
-        docs, keep, "row bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>, shingles array<bigint>", start
-    )
+    words = "".join(f"{name} bigint, " for name in _PARITIES)
+    added = f"row bigint, n bigint, s1 bigint, s2 bigint, {words}bands array<bigint>, shingles array<bigint>"
+    return by_slices(docs, keep, added, start)
 
 
 def _compatible(a: Column, b: Column, percent: int) -> Column:
@@ -150,6 +162,13 @@ def _compatible(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _near_parity(one: Callable[[str], Column], other: Callable[[str], Column], percent: int) -> Column:
+    """Whether sets may be that similar. With a union of u hashes and d that are in one set only,
+    100 * d <= (100 - percent) * u and 2 * u = sizes + d, so (100 + percent) * d <= (100 - percent) * sizes."""
+    odd = sum((F.bit_count(one(p).bitwiseXOR(other(p))) for p in _PARITIES), F.lit(0))
+    return odd * (100 + percent) <= (100 - percent) * (one("n") + other("n"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of ``pairs`` (u, v and more) those whose ``sets`` (node, shingles) are similar enough."""
     side = lambda name, own: sets.select(F.col("node").alias(name), F.col("shingles").alias(own))
@@ -159,11 +178,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def similar_groups(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int = PERCENT) -> DataFrame:
-    """``node, root`` of all ``nodes`` (node, n, bands) that are linked to another; root is the least.
+    """``node, root`` of all ``nodes`` (node, n, bands, parity) that are linked to another; root is the least.
 
     ``sets`` gives, for a table of some ``node``, their ``shingles``.
     """
-    keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    known = ["node", "n", *_PARITIES]
+    keyed = nodes.select(*known, F.posexplode("bands").alias("band", "key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "shared")
     members = stored(maybe_in(keyed, "key", shared).join(shared, "key"), "shared")
     hashes = stored(sets(members.select("node").distinct()), "sets")
@@ -174,8 +194,8 @@ def similar_groups(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], per
         That holds in any order of shingles. In this one a passage that many documents share comes
         last, so those that share nothing else don't meet again.
         """
-        nodes = stored(left.select("node", "n", "root").distinct(), "left")
-        each = hashes.join(nodes, "node").select("node", "n", "root", F.explode("shingles").alias("key"))
+        nodes = stored(left.select(*known, "root").distinct(), "left")
+        each = hashes.join(nodes, "node").select(*known, "root", F.explode("shingles").alias("key"))
         often = each.groupBy("key").agg(F.count("*").alias("_often"))
         order = F.row_number().over(Window.partitionBy("node").orderBy("_often", "key"))  # a set's own shingles
         first = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
@@ -183,7 +203,7 @@ def similar_groups(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], per
 
     return linked_in_rounds(
         members,
-        lambda one, other: _compatible(one("n"), other("n"), percent),
+        lambda one, other: _compatible(one("n"), other("n"), percent) & _near_parity(one, other, percent),
         lambda pairs: verified(pairs, hashes, percent),
         F.col("band") < EARLY,
         rarest,
@@ -204,7 +224,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = stored(signatures(docs, ["doc_id"]), "signatures")
     nodes = stored(
         rows.where("n > 0").groupBy("s1", "s2").agg(
-            F.min("doc_id").alias("first"), F.min("row").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")
+            F.min("doc_id").alias("first"), F.min("row").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+            *(F.first(p).alias(p) for p in _PARITIES),
         ),
         "nodes",
     )
@@ -214,7 +235,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         some = rows.select(F.col("row").alias("node"), "shingles").select("*", hashed)
         return maybe_in(some, "_hash", wanted.select(hashed)).drop("_hash").join(wanted, "node", "left_semi")
 
-    groups = similar_groups(nodes.select("node", "n", "bands"), sets, percent)
+    groups = similar_groups(nodes.select("node", "n", *_PARITIES, "bands"), sets, percent)
     own = nodes.select("s1", "s2", "first", "node").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = stored(own, "named")
     least = own.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -138,3 +138,17 @@ def test_odd_rows(odd_docs, no_docs):
     assert all(r.text for r in by[4]) and len(by[4]) == 3  # rows that repeat with their id keep what one would
     assert len(by[6][0].text.split("\n")) == 400
     assert d.line_classes(no_docs).count() == 0 and d.without_repeated_lines(no_docs).count() == 0
+
+
+def test_an_edit_flips_few_bits_of_the_parity_of_pairs(spark):
+    """Four for a substitution, three for an insertion or deletion, also at both ends."""
+    base, rows = "the äquator is 40 075 km long 😀", []
+    for i in range(len(base) + 1):
+        rows.append((base[:i] + "q" + base[i:], 3))
+        if i < len(base):
+            rows += [(base[:i] + base[i + 1 :], 3), (base[:i] + "😀" + base[i + 1 :], 4)]
+    lines = spark.createDataFrame([(base, 0), *rows], "line string, allowed int")
+    found = lines.select("allowed", *d._pair_parity(F.col("line"))).collect()
+    mask = (1 << 64) - 1
+    for allowed, *words in found:
+        assert sum(((w ^ o) & mask).bit_count() for w, o in zip(words, found[0][1:])) <= allowed

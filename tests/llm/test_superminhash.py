@@ -115,3 +115,14 @@ def test_odd_and_empty_tables(spark, odd_docs, no_docs):
     assert sorted(x[:2] for x in by_id[None]) == [(0, None), (77, 4)] or {x[1] for x in by_id[None]} == {None, 4}
     assert not any(x[2] for x in by_id[None])
     assert m.near_duplicates(no_docs).collect() == []
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_hashes():
+    draw = np.random.default_rng(5)
+    for size in (0, 1, 5, 300, 5000):
+        whole = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64))
+        for share in (0.0, 0.1, 0.5, 1.0):
+            part = whole[draw.random(len(whole)) >= share]
+            a, b = m.parities([whole, part]).view(np.uint64)
+            odd = sum(int(x ^ y).bit_count() for x, y in zip(a, b))
+            assert odd <= len(whole) - len(part) and (len(whole) - len(part) - odd) % 2 == 0
