@@ -8,6 +8,10 @@ that failed is written again by its retry. One writer per ledger.
     <root>/new/run=N       new listings in order
     <root>/outbox/run=N    deliveries
     <root>/commits/run=N   one row, written last
+    <root>/checkpoints/upto=N  all commits up to run N in one file
+
+A commit is looked for in the newest checkpoint and in the commits after it, so that a run opens at
+most ``CHECKPOINT_EVERY`` + 1 files of them, however many runs there were.
 """
 
 from __future__ import annotations
@@ -20,6 +24,10 @@ from pyspark.sql import functions as F
 
 from listingloom.operators.diff import all_ids
 from listingloom.schema import SEEN
+from listingloom.sources import folders
+
+#: Commits that are gathered in one checkpoint.
+CHECKPOINT_EVERY = 20
 
 COMMIT = "run_no bigint, executed boolean, seen_run bigint"
 
@@ -37,12 +45,14 @@ class Ledger:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._since = 0  # commits since the newest checkpoint
         self._last = self._load_last()
 
     def path(self, table: str, run_no: int) -> str:
         return f"{self.root}/{table}/run={run_no}"
 
     def _load_last(self) -> Commit | None:
+        self._since = len(self._commit_files()[1])
         row = self.commits().agg(F.max(F.struct("run_no", "executed", "seen_run")).alias("c")).first()
         return Commit(**row["c"].asDict()) if row["c"] else None
 
@@ -52,13 +62,65 @@ class Ledger:
         return self._last
 
     def commits(self) -> DataFrame:
-        """All commits, a row per run."""
-        try:
-            return self.spark.read.schema(COMMIT).json(f"{self.root}/commits/*")
-        except AnalysisException as missing:
-            if missing.getCondition() == "PATH_NOT_FOUND":
-                return self.spark.createDataFrame([], COMMIT)
-            raise
+        """All commits, a row per run: the newest checkpoint and what came after it."""
+        upto, tail = self._commit_files()
+        paths = [self.path("commits", n) for n in tail]
+        if upto is not None:
+            paths.append(self._checkpoint(upto))
+        if not paths:
+            return self.spark.createDataFrame([], COMMIT)
+        return self.spark.read.schema(COMMIT).json(paths)
+
+    def _checkpoint(self, upto: int) -> str:
+        return f"{self.root}/checkpoints/upto={upto}"
+
+    def _checkpoints(self) -> list[int]:
+        return folders.numbers(self.spark, f"{self.root}/checkpoints", "upto")
+
+    def _commit_files(self) -> tuple[int | None, list[int]]:
+        """The run of the newest complete checkpoint, and the runs committed after it."""
+        complete = (n for n in reversed(self._checkpoints()) if folders.has_data(self.spark, self._checkpoint(n)))
+        upto = next(complete, None)
+        runs = folders.numbers(self.spark, f"{self.root}/commits", "run")
+        return upto, [n for n in runs if upto is None or n > upto]
+
+    def checkpoint(self) -> None:
+        """Gathers all commits so far in one file. Commits stay where they are until a vacuum."""
+        if self._last is not None:
+            path = self._checkpoint(self._last.run_no)
+            self.commits().coalesce(1).write.mode("overwrite").json(path)
+            self._since = 0
+
+    def vacuum(self, keep_runs: int = CHECKPOINT_EVERY) -> None:
+        """Removes seen sets that no run to come compares with, and commits that a checkpoint holds.
+
+        What the last ``keep_runs`` runs could read stays for readers that have begun: their seen
+        sets with the one each of them started from, their commits, the newest checkpoint
+        and the newest of those before them. New listings, cards, outboxes and statistics are the
+        record of what was done and are never removed. To be called by the ledger's writer between
+        runs; a vacuum that is ended half way is completed by the next.
+        """
+        if keep_runs < 1:
+            raise ValueError("the last run is always kept")
+        if self._last is None:
+            return
+        recent = self.commits().orderBy(F.desc("run_no")).limit(keep_runs + 1).collect()
+        oldest = min(row["run_no"] for row in recent)
+        needed = {row["seen_run"] for row in recent}
+        for n in folders.numbers(self.spark, f"{self.root}/seen", "run"):
+            # Later ones are of a run that is being written.
+            if n not in needed and n < self._last.run_no:
+                folders.remove(self.spark, self.path("seen", n))
+        complete = [n for n in self._checkpoints() if folders.has_data(self.spark, self._checkpoint(n))]
+        held = max((n for n in complete if n < oldest), default=None)
+        if held is None:
+            return
+        for n in folders.numbers(self.spark, f"{self.root}/commits", "run"):
+            if n <= held:
+                folders.remove(self.spark, self.path("commits", n))
+        for n in self._checkpoints():
+            if n < held:
+                folders.remove(self.spark, self._checkpoint(n))
 
     def is_done(self, run_no: int) -> bool:
         """Whether a run has a commit of its own.
@@ -137,3 +199,6 @@ class Ledger:
         )
         row.write.mode("overwrite").json(self.path("commits", run_no))
         self._last = done
+        self._since += 1
+        if self._since >= CHECKPOINT_EVERY:
+            self.checkpoint()
