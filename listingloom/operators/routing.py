@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,9 @@ from listingloom.functions.season import category_rank
 
 # Subscription rows are four short columns: this many stay far below 100 MB.
 BROADCAST_ROWS = 500_000
-# Deliveries that one task makes, roughly.
+# Deliveries that one task makes, roughly, as long as that takes no more than MOST_TASKS tasks.
 ROWS_PER_TASK = 1_000_000
+MOST_TASKS = 1_000
 
 
 def live_subscriptions(subscriptions: DataFrame, live_channels: DataFrame) -> DataFrame:
@@ -26,17 +28,31 @@ class Sizes:
     """How much a fan-out takes in and makes, by counts per category."""
 
     subscriptions: int
+    listings: int
     deliveries: int
 
 
 def sizes(subscriptions: DataFrame, counts: DataFrame) -> Sizes:
     per = subscriptions.groupBy("category").agg(F.count("*").alias("n"))
+    total = lambda column: F.coalesce(F.sum(column), F.lit(0))
     made = per.join(F.broadcast(counts), "category", "left").agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("new_count")), F.lit(0))
+        total("n"), total("new_count"), total(F.col("n") * F.col("new_count"))
     )
     return Sizes(*made.first())
 
 
+def grid(size: Sizes, tasks: int) -> tuple[int, int]:
+    """Slices of the subscriptions and shares of the listings: about ``tasks`` blocks in all.
+
+    Each listing is moved once per slice and each subscription once per share, so the blocks are
+    cut where both sides move about as many rows. A slice holds ``BROADCAST_ROWS`` at most.
+    """
+    least = -(-size.subscriptions // BROADCAST_ROWS)
+    balanced = math.isqrt(tasks * size.subscriptions // max(size.listings, 1))
+    slices = max(1, least, min(balanced, tasks, size.subscriptions))
+    return slices, max(1, -(-tasks // slices))
+
+
 def fan_out(
     numbered: DataFrame,
     subscriptions: DataFrame,
@@ -50,17 +66,17 @@ def fan_out(
     use two tasks, and a plain broadcast as many as the few listings have splits. The number
     of tasks follows from the rows to be made instead: listings are dealt out by position.
     Up to ``broadcast_rows`` subscriptions are broadcast; beyond that they are cut into slices,
-    and every (category, slice, share of the listings) is a join key of its own.
+    and every (category, slice, share of the listings) is a join key of its own. Deliveries grow
+    with the product of both sides, so the number of tasks ends at ``MOST_TASKS``.
     """
     wanted = [c for c in ("guild_id", "category", "channel_id", "guild_order", "seq_before") if c in subscriptions.columns]
     subscriptions = subscriptions.select(wanted)
-    tasks = max(1, -(-size.deliveries // rows_per_task))
+    tasks = min(max(1, -(-size.deliveries // rows_per_task)), MOST_TASKS)
     if size.subscriptions <= broadcast_rows:
         dealt = numbered.repartition(tasks, "position") if tasks > 1 else numbered
         return dealt.join(F.broadcast(subscriptions), "category")
 
-    slices = -(-size.subscriptions // max(broadcast_rows, 1))
-    shares = max(1, -(-tasks // slices))
+    slices, shares = grid(size, tasks)
     cut = subscriptions.withColumn(
         "slice", F.pmod(F.xxhash64("guild_id", "channel_id"), F.lit(slices))
     ).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
