@@ -230,26 +230,28 @@ def main_lines(lines: list[tuple[str, int]], partners: list[list[int]]) -> list[
 LINES = "array<struct<text:string,place:int,article:boolean>>"
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
+def page_lines(pages: DataFrame, texts: bool = True) -> DataFrame:
     """``page_id, url``, host and path, ``hashes`` of all lines, and the ``lines`` that are no template.
 
     Each of those has its ``place`` among all lines of the page. ``digest`` is that of the hashes.
+    Without ``texts`` the ``lines`` are left out.
     """
 
     def start() -> Callable[..., list]:
         def work(htmls: list[str | None], urls: list[str | None]) -> list:
             parts = [url_parts(u) for u in urls]
             read = [lines_of(x) for x in htmls]
+            found = [[h for h, _ in parts], [p for _, p in parts], list(map(line_hashes, read))]
+            if not texts:
+                return found
             kept = [[(t, i, z == ARTICLE) for i, (t, z) in enumerate(lines) if z != TEMPLATE] for lines in read]
-            named = [[dict(zip(("text", "place", "article"), x)) for x in lines] for lines in kept]
-            return [[h for h, _ in parts], [p for _, p in parts], list(map(line_hashes, read)), named]
+            return [*found, [[dict(zip(("text", "place", "article"), x)) for x in lines] for lines in kept]]
 
         return work
 
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = by_slices(
-        rows, ["page_id", "url"], f"host string, path string, hashes array<bigint>, lines {LINES}", start, ["html", "url"]
-    )
+    add = "host string, path string, hashes array<bigint>" + (f", lines {LINES}" if texts else "")
+    found = by_slices(rows, ["page_id", "url"], add, start, ["html", "url"])
     return found.withColumn("digest", F.xxhash64("hashes"))
 
 
@@ -260,7 +262,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     nearest first; the first and last page of a host have the next two, or before two. Pages of a
     host with equal lines are one row, at the least of their paths, so the page beside it always
     differs. Rows are put in order of host and path by ranges; each range finds its own
-    neighbours, and the ends of ranges, two rows each, find theirs among themselves.
+    neighbours, and the ends of ranges, two rows each, find theirs among themselves and are broadcast.
     """
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
@@ -289,7 +291,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
     # Of each range the first two and last two rows, in one order: what precedes the first and follows the last.
     left, right = beside(Window.orderBy(*order))
     ends = texts.where("top or end").select("host", "digest", left.alias("left"), right.alias("right"))
-    texts = texts.join(ends, ["host", "digest"], "left")
+    texts = texts.join(F.broadcast(ends), ["host", "digest"], "left")
     beside_it = F.struct(
         "host", "path", "hashes",
         F.when(F.col("top"), F.col("left")).otherwise(F.col("before")).alias("before"),
@@ -305,11 +307,14 @@ def extracted(pages: DataFrame) -> DataFrame:
     Null and empty pages, and pages without a line outside the template, have an empty text. A
     page alone on its host has nothing to be compared with, nor has one without a host: a null,
     relative or unreadable URL. Repeated rows are read each. Columns other than ``page_id``, ``url``
-    and ``html`` are not read. Each page is parsed once, and its HTML is never moved.
+    and ``html`` are not read. Each page is parsed twice, once for the hashes of its lines and once for
+    the lines: they are moved once and never stored, and the HTML is neither.
     """
-    rows = stored(page_lines(pages), "lines", "zstd")
-    near = neighbours(rows.select("host", "path", "hashes", "digest"))
-    both = rows.select("page_id", "url", "host", "digest", "lines").join(near, ["host", "digest"], "left")
+    near = neighbours(page_lines(pages, texts=False).select("host", "path", "hashes", "digest"))
+    # Apart, the parts of the lines are smaller to move than one by one.
+    apart = [F.col(f"lines.{c}").alias(c) for c in ("text", "place", "article")]
+    rows = page_lines(pages).select("page_id", "url", "host", "digest", *apart)
+    both = rows.join(near, ["host", "digest"], "left").withColumn("lines", F.arrays_zip("text", "place", "article"))
 
     def left(shared: Column) -> Column:
         gone = lambda x: F.coalesce(F.array_contains(shared, x["place"]), F.lit(False))

@@ -64,3 +64,14 @@ def test_pages_match_brute_force(spark):
             choices.append([t for n, (t, a) in enumerate(lines) if a or n not in shared])
         expected[i] = "\n".join(next(filter(None, choices), []))
     assert texts(spark, rows) == expected
+
+
+def test_lines_of_pages_are_moved_once_and_not_stored(spark, monkeypatch):
+    kept, stored = [], h.stored
+    monkeypatch.setattr(h, "stored", lambda df, purpose, *rest: kept.append((purpose, df.columns)) or stored(df, purpose, *rest))
+    rows = [(i, f"http://a.example/{i}", page(f"<p>shop bar</p><p>s{i}</p>", False)) for i in range(4)]
+    found = h.extracted(spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA))
+    assert {r.page_id: r.text for r in found.collect()} == {i: f"s{i}" for i in range(4)}
+    assert kept == [("texts", ["host", "digest", "path", "hashes", "range"])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") and plan.count("ResolvedHint") + plan.count("broadcast") > 0
