@@ -65,7 +65,8 @@ def keyed(rows: DataFrame) -> DataFrame:
     """``rows`` once for each of their ``key``: their own segments (``own``), and what they probe.
 
     A key is a hash of length, segment and substring. Segments are as even as they can be, the
-    longer ones last. Lines that may have no edit have no key.
+    longer ones last. Lines that may have no edit have no key. Keys come out of an array of one,
+    or else a filter on them would be pushed below and cut each segment several times.
     """
     names = ("e", "d", "i", "shift")
 
@@ -90,7 +91,7 @@ def keyed(rows: DataFrame) -> DataFrame:
     size = base + (F.col("i") + longer >= parts).cast("int")
     key = F.xxhash64(indexed, "i", F.substring(F.col("line"), start + 1, size))
     own = (F.col("d") == 0) & (F.col("shift") == 0)
-    return opened.select(key.alias("key"), own.alias("own"), *rows.columns)
+    return opened.select(F.explode_outer(F.array(key)).alias("key"), own.alias("own"), *rows.columns)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:

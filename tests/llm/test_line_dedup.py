@@ -152,3 +152,9 @@ def test_an_edit_flips_few_bits_of_the_parity_of_pairs(spark):
     mask = (1 << 64) - 1
     for allowed, *words in found:
         assert sum(((w ^ o) & mask).bit_count() for w, o in zip(words, found[0][1:])) <= allowed
+
+
+def test_a_filter_on_keys_cuts_each_segment_once(spark, docs):
+    rows = d.lines(docs(["one line of some words"])).select("line", "len", "h1")
+    plan = d.keyed(rows).where(F.col("key").bitwiseAND(F.lit(63)) + F.col("key") != 5)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("substring(") == 1
