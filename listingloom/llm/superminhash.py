@@ -18,6 +18,7 @@ after the first round, mostly documents that share a passage, meets anew by the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ ROWS = 4
 BANDS = 28
 #: Bands whose large buckets are worked off first; copies of a group mostly meet there.
 EARLY = 2
-#: Words of a set's parity: a bit per class of hashes, set where their number in the set is odd.
-PARITY = 4
+#: Words of a set's parity: a bit per class of hashes, set where their number in the set is odd. Members
+#: of bands have it folded to FOLDED words; what is left for the rarest shingles has all of it.
+PARITY = 16
+FOLDED = 4
 _PARITIES = [f"p{i}" for i in range(PARITY)]
 _GOLDEN = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFFFFF)
@@ -157,15 +160,21 @@ def signatures(docs: DataFrame, keep: list[str], shingle: int = SHINGLE, bands:
     return by_slices(docs, keep, added, start)
 
 
-def _compatible(a: Column, b: Column, percent: int) -> Column:
-    """Whether sizes of sets allow them to be that similar."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _compatible(one: Callable[[str], Column], other: Callable[[str], Column], percent: int) -> Column:
+    """Whether sets may be that similar by their sizes, and by what comes from their key on.
+
+    Negative bands are places in the order of shingles. At the first shingle that two sets share they
+    have at most as many in common as either has from there on, and a similar pair shares its
+    first one among the rarest, so it is found there if at no other key.
+    """
+    reach = lambda side: side("n") - F.greatest(F.lit(0), -side("band") - 1)
+    return (100 + percent) * F.least(reach(one), reach(other)) >= percent * (one("n") + other("n"))
 
 
 def _near_parity(one: Callable[[str], Column], other: Callable[[str], Column], percent: int) -> Column:
     """Whether sets may be that similar. With a union of u hashes and d that are in one set only,
     100 * d <= (100 - percent) * u and 2 * u = sizes + d, so (100 + percent) * d <= (100 - percent) * sizes."""
-    odd = sum((F.bit_count(one(p).bitwiseXOR(other(p))) for p in _PARITIES), F.lit(0))
+    odd = sum((F.coalesce(F.bit_count(one(p).bitwiseXOR(other(p))), F.lit(0)) for p in _PARITIES), F.lit(0))
     return odd * (100 + percent) <= (100 - percent) * (one("n") + other("n"))
 
 
@@ -183,7 +192,9 @@ def similar_groups(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], per
     ``sets`` gives, for a table of some ``node``, their ``shingles``.
     """
     known = ["node", "n", *_PARITIES]
-    keyed = nodes.select(*known, F.posexplode("bands").alias("band", "key"))
+    folds = [reduce(Column.bitwiseXOR, (F.col(p) for p in _PARITIES[i::FOLDED])).alias(_PARITIES[i]) for i in range(FOLDED)]
+    none = [F.lit(None).cast("long").alias(p) for p in _PARITIES[FOLDED:]]
+    keyed = nodes.select("node", "n", *folds, *none, F.posexplode("bands").alias("band", "key"))
     shared = stored(keyed.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "shared")
     members = stored(maybe_in(keyed, "key", shared).join(shared, "key"), "shared")
     hashes = stored(sets(members.select("node").distinct()), "sets")
@@ -194,16 +205,18 @@ def similar_groups(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], per
         That holds in any order of shingles. In this one a passage that many documents share comes
         last, so those that share nothing else don't meet again.
         """
-        nodes = stored(left.select(*known, "root").distinct(), "left")
-        each = hashes.join(nodes, "node").select(*known, "root", F.explode("shingles").alias("key"))
+        own = nodes.select(known).join(left.select("node", "root").distinct(), "node")
+        own = stored(own, "left")
+        each = hashes.join(own.select("node", "n"), "node").select("node", "n", F.explode("shingles").alias("key"))
         often = each.groupBy("key").agg(F.count("*").alias("_often"))
         order = F.row_number().over(Window.partitionBy("node").orderBy("_often", "key"))  # a set's own shingles
         first = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
-        return each.join(often, "key").withColumn("_at", order).where(F.col("_at") <= first).withColumn("band", F.lit(0))
+        some = each.join(often, "key").withColumn("_at", order).where(F.col("_at") <= first)
+        return some.select("node", "key", (-F.col("_at")).alias("band")).join(own, "node")
 
     return linked_in_rounds(
         members,
-        lambda one, other: _compatible(one("n"), other("n"), percent) & _near_parity(one, other, percent),
+        lambda one, other: _compatible(one, other, percent) & _near_parity(one, other, percent),
         lambda pairs: verified(pairs, hashes, percent),
         F.col("band") < EARLY,
         rarest,

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from listingloom.llm import components
 from listingloom.llm import superminhash as m
@@ -126,3 +127,21 @@ def test_parities_differ_in_no_more_bits_than_sets_in_hashes():
             a, b = m.parities([whole, part]).view(np.uint64)
             odd = sum(int(x ^ y).bit_count() for x, y in zip(a, b))
             assert odd <= len(whole) - len(part) and (len(whole) - len(part) - odd) % 2 == 0
+
+
+def test_parities_tell_long_sets_apart():
+    """Of 800 hashes each and 70 in a hundred in common: 480 differ by far more than a link at 80 allows."""
+    draw = np.random.default_rng(6)
+    for _ in range(20):
+        pool = draw.integers(0, 1 << 63, 942, dtype=np.uint64)
+        a, b = m.parities([np.sort(pool[:800]), np.sort(pool[142:])]).view(np.uint64)
+        odd = sum(int(x ^ y).bit_count() for x, y in zip(a, b))
+        assert 180 * odd > 20 * 1600
+
+
+def test_pairs_meet_at_the_first_rare_shingle_they_share(spark):
+    """Sizes alone decide on bands; a place in the order of shingles that is too late for a link doesn't count."""
+    rows = [(100, 0, 100, 5), (100, 27, 79, 27), (100, -1, 100, -1), (100, -12, 100, -12), (100, -13, 100, -1), (80, -1, 100, -21), (80, -1, 100, -22), (81, -3, 100, -1)]
+    frame = spark.createDataFrame(rows, "n int, band int, _n int, _band int")
+    got = frame.select(m._compatible(F.col, lambda c: F.col(f"_{c}"), 80).alias("may")).collect()
+    assert [r.may for r in got] == [True, False, True, True, False, True, False, False]
