@@ -1,9 +1,11 @@
 """Near-duplicate lines by a segment-partition edit join. Built-in expressions only.
 
-A line that may have e edits is cut into e + 1 segments. Of two lines at most e edits apart, one
-segment of the shorter is found unchanged in the longer, at a place that the lengths bound.
-Segments are indexed by length and number, each line probes the lengths that may be linked to
-it, and what meets is verified by a banded bit-parallel edit distance.
+Lines are indexed by classes of length. A line that may have e edits is cut into e + 1 segments: the
+first ones from its beginning, the last one up to its end, of the sizes of the shortest line of its
+class. Of two lines at most e edits apart, one segment of the shorter is found unchanged in the
+longer: the first at its beginning, the last at its end, one between at the same place or one
+further. Each line also probes the class below, if a line of that may be linked to it. What meets is
+verified by a banded bit-parallel edit distance.
 
 How far lines may be apart follows from the shorter one's code points (``EDITS``): below 8 none,
 as one edit makes any of them alike, from 8 on one, from 20 on two. Every line with a word takes
@@ -21,6 +23,9 @@ from listingloom.llm.tables import SPACE, maybe_in, stored, text_or_empty
 #: Edits (insertions, deletions, substitutions of code points) between linked lines, and the least
 #: length of the shorter line for which they are allowed.
 EDITS = {1: 8, 2: 20}
+#: Classes of length: from a length on, so many lengths make one. No class has lengths of which the
+#: edits differ, or fewer lengths than edits.
+CLASSES = {8: 2, 20: 4, 64: 8}
 
 
 def edits_of(length: Column) -> Column:
@@ -47,50 +52,53 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _probes(edits: int) -> list[tuple[int, int, int, int]]:
-    """(edits, d, segment, shift): for a line d shorter, where its segments may stand in this one.
+def _probes(edits: int) -> list[tuple[int, int]]:
+    """(segment, shift): where in a line it looks for segments, or has its own (shift 0).
 
-    Segment i of the indexed line, which begins at p, may start in the probing line from
-    max(p - i, p + d - (edits - i)) to min(p + i, p + d + (edits - i)).
+    With two edits the middle segment is untouched only where one edit lies before it and one
+    behind. It then stands as far on as the first adds, 0 or 1. Where that one deletes a character
+    and the other inserts one, lines are equally long, and the other's middle segment stands 1
+    further in this one.
     """
-    return [
-        (edits, d, i, shift)
-        for d in range(edits + 1)
-        for i in range(edits + 1)
-        for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)
-    ]
+    return [(i, shift) for i in range(edits + 1) for shift in range(1 + (0 < i < edits))]
 
 
 def keyed(rows: DataFrame) -> DataFrame:
     """``rows`` once for each of their ``key``: their own segments (``own``), and what they probe.
 
-    A key is a hash of length, segment and substring. Segments are as even as they can be, the
+    A key is a hash of class, segment and substring. Segments are as even as they can be, the
     longer ones last. Lines that may have no edit have no key. Keys come out of an array of one,
     or else a filter on them would be pushed below and cut each segment several times.
     """
-    names = ("e", "d", "i", "shift")
-
-    def grid(probes: list[tuple[int, int, int, int]]) -> Column:
-        return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, p))) for p in probes))
-
-    # Which edits a probe is for follows from the length that it looks for.
-    bounds = sorted(EDITS.items())
-    chosen = F.lit(None).cast("array<struct<e:int,d:int,i:int,shift:int>>")
-    top = max(EDITS)
-    for length in sorted({least + more for _, least in bounds for more in range(top + 1)}):
-        probes = [
-            p
-            for p in (p for e, _ in bounds for p in _probes(e))
-            if max((e for e, least in bounds if length - p[1] >= least), default=0) == p[0]
-        ]
-        chosen = F.when(F.col("len") >= length, grid(probes)).otherwise(chosen)
-    opened = rows.select("*", F.inline(chosen))
-    indexed, parts = F.col("len") - F.col("d"), F.col("e") + 1
+    n = F.col("len")
+    names = ("back", "e", "i", "shift")
+
+    def grid(*classes: tuple[int, int]) -> Column:
+        probes = [(back, e, *p) for back, e in classes for p in _probes(e)]
+        return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, p))) for p in probes))
+
+    # The shortest line of the own class, and how many lengths the class below that is probed has.
+    least, chosen = F.lit(None).cast("int"), F.lit(None).cast("array<struct<back:int,e:int,i:int,shift:int>>")
+    below = None
+    for first, width in sorted(CLASSES.items()):
+        e = max(e for e, length in EDITS.items() if length <= first)
+        at = (n - first) % width
+        least = F.when(n >= first, n - at).otherwise(least)
+        one = grid((0, e))
+        if below:
+            chosen = F.when(n >= first, F.when(at < below[1], grid((0, e), below)).otherwise(one)).otherwise(chosen)
+        else:
+            chosen = F.when(n >= first, one).otherwise(chosen)
+        below = (width, e)
+        chosen = F.when(n >= first + width, F.when(at < e, grid((0, e), below)).otherwise(one)).otherwise(chosen)
+    opened = rows.select("*", least.alias("_least"), F.inline(chosen))
+    indexed, parts = F.col("_least") - F.col("back"), F.col("e") + 1
     base, longer = F.floor(indexed / parts).cast("int"), indexed % parts
-    start = F.col("i") * base + F.greatest(F.lit(0), longer - (parts - F.col("i"))) + F.col("shift")
     size = base + (F.col("i") + longer >= parts).cast("int")
+    before = F.col("i") * base + F.greatest(F.lit(0), longer - (parts - F.col("i"))) + F.col("shift")
+    start = F.when(F.col("i") == F.col("e"), n - size).otherwise(before)
     key = F.xxhash64(indexed, "i", F.substring(F.col("line"), start + 1, size))
-    own = (F.col("d") == 0) & (F.col("shift") == 0)
+    own = (F.col("back") == 0) & (F.col("shift") == 0)
     return opened.select(F.explode_outer(F.array(key)).alias("key"), own.alias("own"), *rows.columns)
 
 
