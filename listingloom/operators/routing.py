@@ -16,6 +16,8 @@ BROADCAST_ROWS = 500_000
 # Deliveries that one task makes, roughly, as long as that takes no more than MOST_TASKS tasks.
 ROWS_PER_TASK = 1_000_000
 MOST_TASKS = 1_000
+# Subscriptions of a slice are held in lists of up to two to the power of this.
+_LIST_BITS = 12
 
 
 def live_subscriptions(subscriptions: DataFrame, live_channels: DataFrame) -> DataFrame:
@@ -77,14 +79,25 @@ def fan_out(
         return dealt.join(F.broadcast(subscriptions), "category")
 
     slices, shares = grid(size, tasks)
-    cut = subscriptions.withColumn(
-        "slice", F.pmod(F.xxhash64("guild_id", "channel_id"), F.lit(slices))
-    ).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    spread = numbered.withColumn("share", F.pmod("position", F.lit(shares))).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    # Both sides number slices and shares by int: keys of unlike types are shuffled once more to be joined.
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda key, n: F.pmod(key, F.lit(n)).cast("int")
+    cut = subscriptions.withColumn("slice", place(F.xxhash64("guild_id", "channel_id"), slices)).withColumn(
+        "share", numbers(shares)
     )
+    spread = numbered.withColumn("share", place(F.col("position"), shares)).withColumn("slice", numbers(slices))
     keys, parts = ["category", "slice", "share"], 2 * slices * shares
-    return spread.repartition(parts, *keys).join(cut.repartition(parts, *keys), keys).drop("slice", "share")
+    # Subscriptions are joined by lists, which are opened afterwards: a delivery costs no look-up of its own.
+    # The list's number only bounds its length; rows of a key stay in the task that the key belongs to.
+    held = (
+        cut.repartition(parts, *keys)
+        .withColumn("list", F.shiftright(F.monotonically_increasing_id(), _LIST_BITS))
+        .groupBy(*keys, "list")
+        .agg(F.collect_list(F.struct(*[c for c in wanted if c != "category"])).alias("held"))
+    )
+    # The planner takes either side for one copy of its rows: without a hint it sends all copies to the driver.
+    joined = spread.repartition(parts, *keys).join(held.hint("merge"), keys)
+    return joined.select("category", *[c for c in numbered.columns if c != "category"], F.inline("held"))
 
 
 def delivery_starts(subscriptions: DataFrame, counts: DataFrame) -> DataFrame:
@@ -130,3 +143,17 @@ def delivery_order(deliveries: DataFrame) -> DataFrame:
     return deliveries.orderBy(
         category_rank(F.col("category")), "guild_order", "guild_id", "channel_id", "seq"
     )
+
+
+def totals_per_listing(deliveries: DataFrame, numbered: DataFrame) -> DataFrame:
+    """``category, id`` with its number of deliveries and the sums of their channels and places.
+
+    Deliveries are summed by position, as two numbers are found far faster than two texts; what is
+    left, a row per listing, gets its id from ``numbered``, where an id may stand more than once.
+    """
+    place = [category_rank(F.col("category")).alias("rank"), "position"]
+    summed = deliveries.groupBy(*place).agg(
+        F.count("*").alias("deliveries"), F.sum("channel_id").alias("channels"), F.sum("seq").alias("places")
+    )
+    named = numbered.select("category", "id", *place).join(summed.hint("merge"), ["rank", "position"])
+    return named.groupBy("category", "id").agg(*[F.sum(c).alias(c) for c in ("deliveries", "channels", "places")])

@@ -300,13 +300,11 @@ def preview_header(spark, sf_dir):
 def fan_out_sliced(spark, sf_dir):
     """New listings to all customers that have set a channel, by slices; totals per listing."""
     stored = ranking.store_newest_first(_new(spark, sf_dir), scratch(spark, "new"))
+    numbered = ranking.with_positions(stored)
     made = routing.deliveries(
-        ranking.with_positions(stored), _subscribed(spark, sf_dir), stats.new_counts(stored),
-        broadcast_rows=200, rows_per_task=200_000,
-    )
-    return made.groupBy("category", "id").agg(
-        F.count("*").alias("deliveries"), F.sum("channel_id").alias("channels"), F.sum("seq").alias("places")
+        numbered, _subscribed(spark, sf_dir), stats.new_counts(stored), broadcast_rows=200, rows_per_task=200_000
     )
+    return routing.totals_per_listing(made, numbered)
 
 
 # Subscriptions
